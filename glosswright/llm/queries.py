@@ -7,7 +7,7 @@ from collections.abc import Callable
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from glosswright.llm import bpe, golay_simhash, language_id, packing, suffix_dedup, token_counts
+from glosswright.llm import ann_forest, bpe, golay_simhash, language_id, line_crf, packing, pivot_join, suffix_dedup, token_counts, toxicity, training
 from glosswright.llm._shared import workers_find_package
 
 WORD_BPE, BYTE_BPE = "word_bpe_49k.json", "byte_bpe_50k.json"
@@ -33,6 +33,15 @@ def op2_token_counts(spark: SparkSession, sf_dir: str) -> DataFrame:
     return token_counts.token_counts(table(spark, sf_dir, "documents"), tokenizer(BYTE_BPE), limit=1024)
 
 
+def op3_toxicity(spark: SparkSession, sf_dir: str) -> DataFrame:
+    docs, labels = table(spark, sf_dir, "documents"), table(spark, sf_dir, "labels")
+    model = toxicity.fit(docs, labels, "doc_id", "text", "toxic", folds=4, held=2)
+    scored = toxicity.score(docs, model)
+    return scored.select(
+        "doc_id", (training.fold("doc_id", 4) == 2).alias("held_out"), "score", (F.col("score") >= 0.3).cast("int").alias("predicted")
+    )
+
+
 def op4_bpe(spark: SparkSession, sf_dir: str) -> DataFrame:
     return bpe.digests(table(spark, sf_dir, "documents"), tokenizer(WORD_BPE))
 
@@ -41,7 +50,21 @@ def op5_language_id(spark: SparkSession, sf_dir: str) -> DataFrame:
     docs = table(spark, sf_dir, "documents")
     model = language_id.fit(docs, "doc_id", "text", "lang", folds=4, held=2)
     return language_id.predict(docs, model).select(
-        "doc_id", (language_id.fold("doc_id", 4) == 2).alias("held_out"), "lang_pred", "score"
+        "doc_id", (training.fold("doc_id", 4) == 2).alias("held_out"), "lang_pred", "score"
+    )
+
+
+def op6_ann(spark: SparkSession, sf_dir: str) -> DataFrame:
+    vectors = table(spark, sf_dir, "embeddings")
+    return ann_forest.search(vectors, F.col("vec_id") % 100 == 0, k=10)
+
+
+def op7_quality(spark: SparkSession, sf_dir: str) -> DataFrame:
+    docs, labels = table(spark, sf_dir, "documents"), table(spark, sf_dir, "labels")
+    model = line_crf.fit(docs, labels, "doc_id", "text", "quality", folds=5, held=0)
+    scored = line_crf.score(docs, model)
+    return scored.select(
+        "doc_id", (training.fold("doc_id", 5) == 0).alias("held_out"), "score", (F.col("score") >= 0.3).cast("int").alias("predicted")
     )
 
 
@@ -49,6 +72,10 @@ def op8_packing(spark: SparkSession, sf_dir: str) -> DataFrame:
     return packing.pack(table(spark, sf_dir, "documents"), tokenizer(WORD_BPE), width=2048, end_id=1).drop("ids")
 
 
+def op9_embedding_dedup(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return pivot_join.near_duplicates(table(spark, sf_dir, "embeddings"), cosine=0.93)
+
+
 def op10_simhash(spark: SparkSession, sf_dir: str) -> DataFrame:
     out = golay_simhash.near_duplicates(table(spark, sf_dir, "documents"), words=3, apart=2)
     return out.select("doc_id", F.lower(F.lpad(F.hex("fp"), 16, "0")).alias("fingerprint"), F.col("component").alias("component_id"))
@@ -58,11 +85,31 @@ def queries() -> dict[str, Callable[[SparkSession, str], DataFrame]]:
     return {
         f.__name__: f
         for f in (
-            op1_suffix_dedup, op2_token_counts, op4_bpe, op5_language_id, op8_packing, op10_simhash,
+            op1_suffix_dedup, op2_token_counts, op3_toxicity, op4_bpe, op5_language_id,
+            op6_ann, op7_quality, op8_packing, op9_embedding_dedup, op10_simhash,
         )
     }
 
 
+#: Links within a label by brute force, components by a recursive union of what is reachable.
+_SQL_9 = """
+WITH RECURSIVE v AS (
+  SELECT vec_id, label, embedding::DOUBLE[] AS e FROM embeddings
+  WHERE embedding IS NOT NULL AND label IS NOT NULL
+    AND len(list_filter(embedding, lambda x: x IS NULL OR NOT isfinite(x))) = 0
+    AND list_sum(list_transform(embedding, lambda x: abs(x))) > 0
+), links AS (
+  SELECT a.vec_id AS a, b.vec_id AS b FROM v a JOIN v b ON a.label = b.label AND a.vec_id <> b.vec_id
+  WHERE list_cosine_similarity(a.e, b.e) >= 0.93
+), reach AS (
+  SELECT vec_id AS a, vec_id AS b FROM embeddings
+  UNION SELECT r.a, l.b FROM reach r JOIN links l ON r.b = l.a
+)
+SELECT r.a AS vec_id, (SELECT count(*) FROM links l WHERE l.a = r.a) AS n_links,
+       min(r.b) AS component_id, r.a = min(r.b) AS kept
+FROM reach r GROUP BY r.a
+"""
+
 #: Every 100-byte string by its position, over bytes written as hex digits.
 _SQL_1 = """
 WITH d AS (SELECT doc_id, hex(encode(coalesce(text, ''))) AS h FROM documents),
@@ -92,4 +139,4 @@ FROM d LEFT JOIN kept ON kept.doc_id = d.doc_id
 
 
 def oracle_sql() -> dict[str, str]:
-    return {"op1_suffix_dedup": _SQL_1}
+    return {"op1_suffix_dedup": _SQL_1, "op9_embedding_dedup": _SQL_9}
