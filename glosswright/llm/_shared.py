@@ -9,6 +9,7 @@ from collections.abc import Iterable, Iterator
 
 import numpy as np
 import pyarrow as pa
+import pyarrow.compute as pc
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
@@ -19,7 +20,7 @@ SLICE_BYTES = 4 << 20
 def slices(batches: Iterable[pa.RecordBatch], text: int = 1) -> Iterator[pa.RecordBatch]:
     """Cuts Arrow batches into runs of rows of about SLICE_BYTES in column ``text``."""
     for batch in batches:
-        sizes = pa.compute.binary_length(batch.column(text)).fill_null(0).to_numpy(zero_copy_only=False)
+        sizes = pc.binary_length(batch.column(text)).fill_null(0).to_numpy(zero_copy_only=False)
         group = np.cumsum(sizes.astype(np.int64)) // SLICE_BYTES
         edges = [0, *(np.flatnonzero(group[1:] != group[:-1]) + 1).tolist(), batch.num_rows]
         for a, b in zip(edges[:-1], edges[1:]):
@@ -36,12 +37,18 @@ def cut(df: DataFrame) -> DataFrame:
     spark = df.sparkSession
     if not spark.conf.get("spark.checkpoint.dir", None) and not spark.sparkContext.getCheckpointDir():
         spark.sparkContext.setCheckpointDir("file://" + os.path.join(tempfile.gettempdir(), "glosswright-checkpoints"))
-    out = df.checkpoint(eager=True)
-    # Shuffle files live until the driver's JVM collects what refers to them; a
-    # lineage that has just been cut frees gigabytes, so ask for it now.
+    release(spark)
+    return df.checkpoint(eager=True)
+
+
+def release(spark: SparkSession) -> None:
+    """Frees the shuffle files that no live DataFrame refers to.
+
+    They stay until the driver's JVM happens to collect what refers to them; where
+    lineages have been cut these are gigabytes, so the driver is asked to do it now.
+    """
     gc.collect()
     spark.sparkContext._jvm.System.gc()
-    return out
 
 
 def row_key(doc: str, text: str) -> list[Column]:

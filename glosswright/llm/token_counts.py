@@ -12,6 +12,7 @@ import json
 from functools import lru_cache
 
 import pyarrow as pa
+import pyarrow.compute as pc
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
@@ -125,9 +126,9 @@ def token_counts(docs: DataFrame, path: str, limit: int = 1024, doc: str = "doc_
         count = counter(path)
         for b in slices(batches):
             n = pa.array(count(b.column(1).to_pylist()), pa.int64())
-            size = pa.compute.binary_length(b.column(1)).fill_null(0).cast(pa.int64())
+            size = pc.binary_length(b.column(1)).fill_null(0).cast(pa.int64())
             yield pa.RecordBatch.from_arrays(
-                [b.column(0), size, n, pa.compute.greater(n, limit)], names=[doc, "n_bytes", "n_tokens", "over_limit"]
+                [b.column(0), size, n, pc.greater(n, limit)], names=[doc, "n_bytes", "n_tokens", "over_limit"]
             )
 
     return docs.select(F.col(doc).cast("long").alias(doc), F.col(text).cast("string").alias(text)).mapInArrow(
