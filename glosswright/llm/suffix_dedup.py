@@ -31,7 +31,7 @@ from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
-from glosswright.llm._shared import cut, row_key, slices
+from glosswright.llm._shared import cut, release, row_key, slices
 from glosswright.llm.byte_windows import BASE_A, BASE_B, anchors, gram_hashes, mix
 
 #: Width of the gram that makes the first digit.
@@ -285,7 +285,8 @@ def repeats(
     by_kind = Window.partitionBy("gram", "kind")
     first = F.min(F.when(F.col("form") == _RUN, F.struct("id", "place"))).over(by_kind)
     graded = (
-        scan.withColumn("first", first)
+        scan.repartition("gram")  # serves the windows over (gram, kind) as well
+        .withColumn("first", first)
         .withColumn("many", F.max(crowded).over(by_gram))
         .withColumn("low", F.min(F.when(F.col("form").isin(_RUN, 3), F.col("kind"))).over(by_gram))
         .withColumn("high", F.max(F.when(F.col("form").isin(_RUN, 3), F.col("kind"))).over(by_gram))
@@ -351,6 +352,7 @@ def dedup(docs: DataFrame, window: int = 100, doc: str = "doc_id", text: str = "
     low 20 bits of their texts' hash.  An empty table gives an empty table.
     """
     rows, found = repeats(docs, window, doc, text)
+    release(docs.sparkSession)
 
     def run(batches):
         for b in slices(batches):
@@ -379,6 +381,7 @@ def cut_repeats(docs: DataFrame, window: int = 100, doc: str = "doc_id", text: s
     """
     rest = tuple(c for c in docs.columns if c not in (doc, text))
     rows, found = repeats(docs, window, doc, text, rest)
+    release(docs.sparkSession)
 
     def run(batches):
         for b in slices(batches, 0):
