@@ -4,8 +4,8 @@ Trees are fitted on a bounded sample: a node parts its points by the hyperplane
 midway between two of them, down to leaves of about ``LEAF`` points.  Every vector is
 indexed, in one leaf of each tree.  A query walks all trees through one shared
 priority queue, always into the subtree that the least margin keeps it from, until
-it has met ``share`` of all vectors (or all trees are walked); the leaves' vectors
-are then compared exactly.
+it has met ``share`` of all vectors beside its own leaf of every tree (or all trees
+are walked); the leaves' vectors are then compared exactly.
 
 The forest (TREES x nodes x width floats, a bound set by the sample) goes to the
 workers once.  Queries are joined to leaves in blocks; each block returns only its
@@ -70,7 +70,7 @@ def grow(x: np.ndarray, seed: int, leaf: int = LEAF) -> Tree:
                         cut_ = w, mid, right
                         break
             if cut_ is None and parent < 0:
-                cut_ = np.ones(x.shape[1]), 0.0, x[at].sum(axis=1) > 0
+                cut_ = np.ones(x.shape[1]), 0.0, x[at].sum(axis=1) > 0  # the root always splits
         if cut_ is None:
             child[parent][side] = ~leaves
             leaves += 1
@@ -81,8 +81,7 @@ def grow(x: np.ndarray, seed: int, leaf: int = LEAF) -> Tree:
         child.append([0, 0])
         if parent >= 0:
             child[parent][side] = k
-        if k or len(at):
-            todo += [(at[cut_[2]], k, 1), (at[~cut_[2]], k, 0)]
+        todo += [(at[cut_[2]], k, 1), (at[~cut_[2]], k, 0)]
     return Tree(np.array(normal), np.array(offset), np.array(child))
 
 
@@ -156,7 +155,8 @@ def search(
     for r in counts:
         sizes[r["tree"]][r["leaf"]] = r["n"]
     known = spark.sparkContext.broadcast(sizes)
-    budget = share * total
+    # a query's own leaf of every tree comes first and holds much the same vectors
+    budget = share * total + trees * (LEAF + k)
 
     def ask(batches):
         for pdf in batches:

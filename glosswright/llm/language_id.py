@@ -92,7 +92,7 @@ def fit(docs: DataFrame, doc: str, text: str, lang: str, folds: int, held: int,
         F.col(doc).cast("long").alias("_key"), F.col(lang).cast("string").alias("_label"), F.col(text).cast("string").alias("_text")
     ).where(F.col("_text").isNotNull() & (fold("_key", folds) != held))
     sample = labelled_sample(rows, "_label", "_text", max_rows)
-    return LanguageModel.fit(sample[sample["text"].map(has_letter)])
+    return LanguageModel.fit(sample[sample["text"].map(has_letter).astype(bool)])
 
 
 def predict(docs: DataFrame, model: LanguageModel, doc: str = "doc_id", text: str = "text") -> DataFrame:
