@@ -8,6 +8,7 @@ from itertools import product
 from multiprocessing.pool import ThreadPool
 
 import numpy as np
+import pandas as pd
 from pyspark.ml import Estimator, Model, Pipeline, PipelineModel
 from pyspark.ml.classification import (
     LinearSVC, LogisticRegression, MultilayerPerceptronClassifier, RandomForestClassifier,
@@ -48,8 +49,6 @@ class RadialFeatures:
         self.b = rng.uniform(0, 2 * math.pi, size)
 
     def transform(self, rows: DataFrame, vector: str = "features", out: str = "radial") -> DataFrame:
-        import pandas as pd
-
         w, b = self.w, self.b
 
         @F.pandas_udf("array<double>")
