@@ -207,42 +207,49 @@ def _windows(window: int):
 def _settle(window: int):
     """Pass 3, the groups' side: rows come sorted by gram; equal windows after the first are repeats."""
 
-    def settle(gram, raw, doc, place):
+    def settle(t: pa.Table):
+        """Rows with bytes are runs, with a check single windows, with neither settled before."""
+        raw, doc, place = t.column(2).to_pylist(), t.column(3).to_numpy(), t.column(4).to_numpy()
+        check = t.column(1)
+        single = np.flatnonzero(check.is_valid().to_numpy(zero_copy_only=False))
+        runs = np.flatnonzero([x is not None for x in raw])
+        done = np.setdiff1d(np.arange(len(raw)), np.concatenate([single, runs]))
+        gram = t.column(0).fill_null(0).to_numpy()
+        lone = check.take(pa.array(single)).to_numpy().astype(np.int64)
+        raw = [raw[k] for k in runs.tolist()]
         count = np.array([len(x) - window + 1 for x in raw], np.int64)
-        flat = np.frombuffer(b"".join(raw), np.uint8)
-        h = _hash_windows(flat, window)
+        h = _hash_windows(np.frombuffer(b"".join(raw), np.uint8), window).view(np.int64)
         base = np.cumsum([0, *map(len, raw)])[:-1]
         at = np.arange(count.sum()) - np.repeat(np.cumsum(count) - count, count)
         h = h[np.repeat(base, count) + at]
-        owner = np.repeat(np.arange(len(raw)), count)
-        gram, doc = np.asarray(gram, np.int64)[owner], np.asarray(doc, np.int64)[owner]
-        spot = np.asarray(place, np.int64)[owner] - (np.asarray(place, np.int64)[owner] & 255) + (at << _START)
-        order = np.lexsort((spot, doc, h[:, 1], h[:, 0], gram))
-        gram, doc, spot, h = gram[order], doc[order], spot[order], h[order]
-        new = np.concatenate(([True], (gram[1:] != gram[:-1]) | (h[1:] != h[:-1]).any(axis=1)))
-        lead = np.maximum.accumulate(np.where(new, np.arange(len(new)), 0))
-        again = (doc != doc[lead]) | (spot != spot[lead])
-        return doc[again], spot[again]
+        owner = np.repeat(runs, count)
+        spot = place[owner] - (place[owner] & 255) + (at << _START)
+        key = [np.concatenate([gram[owner], gram[single]]), np.concatenate([h[:, 0], gram[single]]), np.concatenate([h[:, 1], lone])]
+        doc_, spot = np.concatenate([doc[owner], doc[single]]), np.concatenate([spot, place[single]])
+        order = np.lexsort((spot, doc_, key[2], key[1], key[0]))
+        doc_, spot, key = doc_[order], spot[order], [k[order] for k in key]
+        again = np.zeros(len(order), bool)
+        if len(order):
+            new = np.concatenate(([True], (key[0][1:] != key[0][:-1]) | (key[1][1:] != key[1][:-1]) | (key[2][1:] != key[2][:-1])))
+            lead = np.maximum.accumulate(np.where(new, np.arange(len(new)), 0))
+            again = (doc_ != doc_[lead]) | (spot != spot[lead])
+        return np.concatenate([doc_[again], doc[done]]), np.concatenate([spot[again], place[done]])
+
+    def flush(t: pa.Table):
+        if t.num_rows:
+            d, p = settle(t)
+            for a in range(0, len(d), 200_000):
+                yield pa.RecordBatch.from_arrays([pa.array(d[a : a + 200_000]), pa.array(p[a : a + 200_000])], names=["id", "place"])
 
     def run(batches):
         held: list[pa.RecordBatch] = []
         size = 0
-
-        def flush(part: pa.Table):
-            if part.num_rows:
-                d, p = settle(*(part.column(k).to_pylist() for k in range(4)))
-                # neighbouring windows of a document are one run again
-                order = np.lexsort((p, d))
-                d, p = d[order], p[order]
-                for a in range(0, len(d), 200_000):
-                    yield pa.RecordBatch.from_arrays([pa.array(d[a : a + 200_000]), pa.array(p[a : a + 200_000])], names=["id", "place"])
-
         for batch in batches:
             held.append(batch)
             size += batch.num_rows
             if size >= 8_000:  # a group has at most 64 CROWD kinds
                 t = pa.Table.from_batches(held).combine_chunks()
-                g = t.column(0).to_numpy()
+                g = t.column(0).fill_null(0).to_numpy()
                 change = np.flatnonzero(g[1:] != g[:-1])
                 if len(change):
                     k = int(change[-1]) + 1
@@ -310,32 +317,28 @@ def repeats(
         fated.groupBy("id", "tag").agg(
             F.collect_list(F.when(F.col("form") == _REPEAT, F.col("place"))).alias("done"),
             F.collect_list(F.when(F.col("form") != _REPEAT, F.struct("form", "gram", "place"))).alias("open"),
-        )
+        ),
+        slim=True,
     )
     asked = state.where(F.size("open") > 0).select(F.col("id").alias("_id"), F.col("tag").alias("_tag"), "open")
-    close = cut(
+    close = (
         long_.join(asked, ["_id", "_tag"]).select("_id", "_tag", "_text", "open")
         .mapInArrow(_windows(window), "gram long, check long, bytes binary, id long, place long")
     )
-    runs = (
-        close.where("bytes is not null").select("gram", "bytes", "id", "place")
-        .repartition(F.col("gram")).sortWithinPartitions("gram")
+    settled = (
+        close.repartition(F.coalesce("gram", F.xxhash64("id"))).sortWithinPartitions("gram")
         .mapInArrow(_settle(window), "id long, place long")
     )
-    one = Window.partitionBy("gram", "check")
-    single = (
-        close.where("check is not null").withColumn("first", F.min(F.struct("id", "place")).over(one))
-        .where(again).select("id", "place")
-    )
-    late = runs.union(single).union(close.where("check is null and bytes is null").select("id", "place"))
-    late = late.select("id", F.shiftrightunsigned("place", _TAG).alias("tag"), "place").groupBy("id", "tag").agg(F.collect_list("place").alias("late"))
+    late = settled.select("id", F.shiftrightunsigned("place", _TAG).alias("tag"), "place")
+    late = late.groupBy("id", "tag").agg(F.collect_list("place").alias("late"))
     found = cut(
         state.select("id", "tag", "done").where(F.size("done") > 0)
         .join(late, ["id", "tag"], "full")
         .select(
             F.col("id").alias("_id"), F.col("tag").alias("_tag"),
             F.concat(F.coalesce("done", F.array().cast("array<long>")), F.coalesce("late", F.array().cast("array<long>"))).alias("_places"),
-        )
+        ),
+        slim=True,
     )
     return rows, found
 
