@@ -116,7 +116,7 @@ def links(prints: DataFrame, apart: int = 2) -> DataFrame:
                 yield pa.RecordBatch.from_arrays([pa.array(fp[row]), pa.array(bucket)], names=["fp", "bucket"])
 
     keys = cut(prints.select("fp").distinct().mapInArrow(keyed, "fp long, bucket long"))
-    big = cut(keys.groupBy("bucket").agg(F.count("*").alias("n")).where(F.col("n") > CROWD).select("bucket"))
+    big = cut(keys.groupBy("bucket").agg(F.count("*").alias("n")).where(F.col("n") > CROWD).select("bucket"), slim=True)
     near = F.bit_count(F.col("a").bitwiseXOR(F.col("b"))) <= apart
     pairs = (
         keys.join(big, "bucket", "left_anti")
@@ -154,6 +154,6 @@ def near_duplicates(docs: DataFrame, words: int = 3, apart: int = 2, doc: str =
     groups = prints.groupBy("fp").agg(F.min("_doc").alias("least"))
     parts = connected_components(links(groups, apart), "a", "b").select(F.col("node").alias("fp"), "component")
     tied = groups.join(parts, "fp", "left").select("fp", "least", F.coalesce("component", "fp").alias("part"))
-    first = cut(tied.groupBy("part").agg(F.min("least").alias("component")))
+    first = cut(tied.groupBy("part").agg(F.min("least").alias("component")), slim=True)
     of = tied.select("fp", "part").join(first, "part").select("fp", "component")
     return prints.join(of, "fp").select(F.col("_doc").alias(doc), "fp", "component")
