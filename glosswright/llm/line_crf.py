@@ -21,7 +21,7 @@ from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
 from glosswright.llm._shared import slices
-from glosswright.llm.training import MAX_ROWS, labelled_sample, logistic, with_labels
+from glosswright.llm.training import MAX_ROWS, labelled_sample, logistic
 
 _KIND = np.zeros(256, np.int8)  # 0 other mark, 1 letter, 2 capital, 3 digit, 4 blank, 5 stop, 6 odd mark
 _KIND[97:123] = 1
@@ -221,7 +221,7 @@ def train(sample: pd.DataFrame) -> LineField:
 
 def fit(docs: DataFrame, labels: DataFrame, doc: str, text: str, label: str, folds: int, held: int, max_rows: int = MAX_ROWS // 2) -> LineField:
     """Learns from at most about ``max_rows`` labelled rows outside the held-out fold."""
-    return train(labelled_sample(with_labels(docs, labels, doc, text, label, folds, held), "_label", "_text", max_rows))
+    return train(labelled_sample(docs, labels, doc, text, label, folds, held, max_rows))
 
 
 def score(docs: DataFrame, model: LineField, doc: str = "doc_id", text: str = "text") -> DataFrame:
@@ -236,7 +236,12 @@ def score(docs: DataFrame, model: LineField, doc: str = "doc_id", text: str = "t
         m = sent.value
         for b in slices(batches):
             texts = b.column(1).to_pylist()
-            q = [m.quality(texts[a : a + 128]) for a in range(0, len(texts), 128)]
+            q, a, size = [], 0, 0
+            for k, t in enumerate(texts):  # arrays of eight bytes a letter: a megabyte of text at a time
+                size += len(t or "") + 64
+                if size >= 1 << 20 or k + 1 == len(texts):
+                    q.append(m.quality(texts[a : k + 1]))
+                    a, size = k + 1, 0
             yield pa.RecordBatch.from_arrays([b.column(0), pa.array(np.concatenate(q))], names=[doc, "score"])
 
     own = docs.select(F.col(doc).cast("long").alias(doc), F.col(text).cast("string").alias(text))
