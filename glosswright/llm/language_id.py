@@ -19,7 +19,7 @@ from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
 from glosswright.llm._shared import slices
-from glosswright.llm.training import MAX_ROWS, fold, labelled_sample
+from glosswright.llm.training import MAX_ROWS, drawn, fold, gathered
 
 BUCKETS, ORDERS, ALPHA = 1 << 15, (1, 2, 3, 4), 0.5
 UNKNOWN = "und"
@@ -91,7 +91,7 @@ def fit(docs: DataFrame, doc: str, text: str, lang: str, folds: int, held: int,
     rows = docs.select(
         F.col(doc).cast("long").alias("_key"), F.col(lang).cast("string").alias("_label"), F.col(text).cast("string").alias("_text")
     ).where(F.col("_text").isNotNull() & (fold("_key", folds) != held))
-    sample = labelled_sample(rows, "_label", "_text", max_rows)
+    sample = gathered(drawn(rows, "_label", max_rows), "_label", "_text")
     return LanguageModel.fit(sample[sample["text"].map(has_letter).astype(bool)])
 
 

@@ -15,6 +15,7 @@ one word more.  Longer words are looked at in overlapping pieces.
 from __future__ import annotations
 
 import re
+import zlib
 from collections import Counter
 from dataclasses import dataclass, field
 
@@ -27,9 +28,9 @@ from pyspark.sql import types as T
 
 from glosswright.llm import string_kernel as sk
 from glosswright.llm._shared import slices
-from glosswright.llm.training import MAX_ROWS, labelled_sample, logistic, with_labels
+from glosswright.llm.training import MAX_ROWS, labelled_sample, logistic
 
-LANDMARKS, NEGATIVES, ROUNDS = 160, 6_000, 3
+LANDMARKS, NEGATIVES, ROUNDS = 128, 6_000, 4
 #: Entries that a worker's memo of words may reach before it is emptied.
 MEMO = 400_000
 _BLANK = re.compile(r"[\W_]+")
@@ -105,6 +106,17 @@ def _machine(z: np.ndarray, y: np.ndarray, weight: np.ndarray, ridge: float = 0.
     return w
 
 
+def _apart(bags: list[set[str]]) -> list[set[str]]:
+    """Bags of words without likely copies of an earlier one, told by two of their least hashes."""
+    seen, out = set(), []
+    for b in bags:
+        sign = min((zlib.crc32(w.encode()), w) for w in b), min((zlib.crc32(w[::-1].encode()), w) for w in b)
+        if sign not in seen:
+            seen.add(sign)
+            out.append(b)
+    return out
+
+
 def train(sample: pd.DataFrame) -> ToxicityModel:
     """Learns from (label, text) rows; without rows of both labels every text gets their share."""
     bags = [{w for t in set(tokens(x)) for w in pieces(t)} for x in sample["text"]]
@@ -114,22 +126,26 @@ def train(sample: pd.DataFrame) -> ToxicityModel:
         share = float(np.mean(sample["label"])) if len(sample) else 0.0
         odds = np.log(np.clip(share, 1e-6, 1 - 1e-6) / np.clip(1 - share, 1e-6, 1))
         return ToxicityModel(np.zeros(sk._TWO * (sk.CLASSES + 1), np.float32), 0.0, np.array([odds, 0.0]))
-    t, c = (Counter(w for b in part for w in sorted(b)) for part in (toxic, clean))
+    t, c = (Counter(w for b in _apart(part) for w in sorted(b)) for part in (toxic, clean))
+
+    def odd(w):
+        """Whether a word is ten times as frequent in toxic texts."""
+        return c[w] * len(toxic) * 10 <= t[w] * len(clean)
 
     def speaks(w):
         a, b = t[w] + 0.5, c[w] + 0.5
-        return (np.log(a / (len(toxic) + 1)) - np.log(b / (len(clean) + 1))) / np.sqrt(1 / a + 1 / b)
+        return odd(w), (np.log(a / (len(toxic) + 1)) - np.log(b / (len(clean) + 1))) / np.sqrt(1 / a + 1 / b)
 
-    rank = {w: speaks(w) for w in sorted(t)}
-    witness = Counter(max(sorted(b), key=rank.get) for b in toxic)
+    rank = {w: speaks(w) for w in sorted(set().union(*toxic))}
+    first = [max(sorted(b), key=rank.get) for b in toxic]
+    witness = Counter(w for w in first if odd(w)) or Counter(first)
     background = sorted(c)
     rng = np.random.default_rng(11)
     drawn = rng.permutation(len(background))[: NEGATIVES // 2]
     negatives = {background[k] for k in drawn} | {w for w, _ in sorted(c.items(), key=lambda x: (-x[1], x[0]))[: NEGATIVES // 2]}
     model = None
     for turn in range(ROUNDS):
-        positives = [w for w, _ in sorted(witness.items(), key=lambda x: (-x[1], x[0])) if c[w] * len(toxic) <= t[w] * len(clean) * 0.1]
-        positives = positives or [w for w, _ in witness.most_common(1)]
+        positives = [w for w, _ in sorted(witness.items(), key=lambda x: (-x[1], x[0]))]
         rest = sorted(negatives.difference(positives))
         marks = positives[: LANDMARKS // 2]
         marks += [rest[k] for k in rng.permutation(len(rest))[: LANDMARKS - len(marks)]]
@@ -151,7 +167,7 @@ def train(sample: pd.DataFrame) -> ToxicityModel:
             negatives |= set(hard)
             every = sorted(set().union(*toxic))
             of = dict(zip(every, model.words(every).tolist()))
-            witness = Counter(max(sorted(b), key=of.get) for b in toxic)
+            witness = Counter(w for b in toxic if odd(w := max(sorted(b), key=of.get))) or witness
     x = model.highest(sample["text"].tolist())
     model.bend = logistic(x[:, None], sample["label"].to_numpy(float), ridge=0.05)
     model.bend[1] = max(model.bend[1], 0.0)
@@ -159,9 +175,9 @@ def train(sample: pd.DataFrame) -> ToxicityModel:
     return model
 
 
-def fit(docs: DataFrame, labels: DataFrame, doc: str, text: str, label: str, folds: int, held: int, max_rows: int = MAX_ROWS // 2) -> ToxicityModel:
+def fit(docs: DataFrame, labels: DataFrame, doc: str, text: str, label: str, folds: int, held: int, max_rows: int = MAX_ROWS) -> ToxicityModel:
     """Learns from at most about ``max_rows`` labelled rows outside the held-out fold."""
-    return train(labelled_sample(with_labels(docs, labels, doc, text, label, folds, held), "_label", "_text", max_rows))
+    return train(labelled_sample(docs, labels, doc, text, label, folds, held, max_rows))
 
 
 def annotate(docs: DataFrame, model: ToxicityModel, text: str = "text") -> DataFrame:
