@@ -116,12 +116,3 @@ def connected_components(edges: DataFrame, a: str, b: str) -> DataFrame:
                 e.select("v", "v").distinct()
             )
         seen = now
-
-
-def workers_find_package(spark: SparkSession) -> None:
-    """Lets Python workers import this package where it isn't installed."""
-    root = os.path.dirname(os.path.dirname(os.path.dirname(os.path.abspath(__file__))))
-    env = spark.sparkContext.environment
-    parts = env.get("PYTHONPATH", "").split(os.pathsep)
-    if root not in parts:
-        env["PYTHONPATH"] = os.pathsep.join([root, *filter(None, parts)])
