@@ -2,13 +2,14 @@
 
 Batches are balanced by bytes (``_shared.slices``).  Long texts are split where
 the byte-level splitter always splits: before a space that follows and precedes
-something other than a space.  Counts of chunks already seen by the worker are
+something other than white space.  Counts of chunks already seen by the worker are
 kept in a bounded memo; new chunks are encoded by the library in one batch.
 """
 
 from __future__ import annotations
 
 import json
+import re
 from functools import lru_cache
 
 import pyarrow as pa
@@ -20,6 +21,8 @@ from glosswright.llm._shared import slices
 
 #: Entries that a worker's memo of chunks may reach before it is emptied.
 MEMO = 600_000
+#: A space between characters that aren't white space, by Unicode.
+_LONE = re.compile(r"(?<=\S) (?=\S)")
 
 
 class _Counter:
@@ -92,21 +95,9 @@ def _merger(spec: dict):
 
 
 def _chunks(text: str) -> list[str]:
-    """Pieces that the splitter never joins; a run of spaces stays whole with its sides."""
-    first, *rest = text.split(" ")
-    if "  " not in text:
-        return [first, *[" " + x for x in rest]]
-    out, held = [], first
-    before = first
-    for x in rest:
-        if before and x:
-            out.append(held)
-            held = " " + x
-        else:
-            held += " " + x
-        before = x
-    out.append(held)
-    return out
+    """Pieces that the splitter never joins; a run of any white space stays whole with its sides."""
+    first, *rest = _LONE.split(text)
+    return [first, *[" " + x for x in rest]]
 
 
 @lru_cache(maxsize=4)

@@ -47,6 +47,14 @@ def test_counts_equal_library(texts):
     assert counter(path("byte_bpe_50k.json"))(every) == [len(tok.encode(x, add_special_tokens=False).ids) for x in every]
 
 
+def test_counts_of_mixed_white_space():
+    from tokenizers import Tokenizer
+
+    tok = Tokenizer.from_file(path("byte_bpe_50k.json"))
+    texts = ["word \xa0 \xa0 \xa0 \xa0 word", "a \xa0 \xa0 \xa0b", "a\n b", "a \n \n b", "a\t \t c", "x \u3000 \u3000 y  z"]
+    assert counter(path("byte_bpe_50k.json"))(texts) == [len(tok.encode(x, add_special_tokens=False).ids) for x in texts]
+
+
 def test_counts_of_piece_model():
     import sentencepiece
 
