@@ -157,10 +157,14 @@ def near_duplicates(rows: DataFrame, cosine: float = 0.93, key: str = "vec_id",
     tied = each.select("class", "least").join(links, "class", "left").join(parts, "class", "left").withColumn("part", F.coalesce("part", "class"))
     first = cut(tied.groupBy("part").agg(F.min("least").alias("component_id")))
     of = tied.join(first, "part").select("class", "n_links", "component_id")
-    fit = vectors.usable(base).where("label is not null").where(F.size("v") == width)
+    # every row is either fit or not, whatever rows share its key
+    marked = base.withColumn("v", F.col("v").cast("array<double>")).withColumn(
+        "fit", vectors.is_usable("v") & F.col("label").isNotNull() & (F.coalesce(F.size("v"), F.lit(-1)) == width)
+    )
+    fit = marked.where("fit")
     mine = F.xxhash64("label", vectors.packed("v"), "v")
     inside = fit.select("key", mine.alias("class")).join(of, "class").select("key", "n_links", "component_id")
-    outside = base.join(fit.select(F.coalesce("key", F.lit(-1)).alias("k")).distinct(), F.coalesce("key", F.lit(-1)) == F.col("k"), "left_anti")
+    outside = marked.where(~F.col("fit"))
     lone = outside.select("key", F.lit(0).cast("long").alias("n_links"), F.col("key").alias("component_id"))
     return inside.union(lone).select(
         F.col("key").alias(key), "n_links", "component_id", F.coalesce(F.col("key") == F.col("component_id"), F.lit(False)).alias("kept")

@@ -2,17 +2,20 @@
 
 from __future__ import annotations
 
-from pyspark.sql import DataFrame
+from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
 
-def usable(rows: DataFrame, vector: str = "v") -> DataFrame:
-    """Rows whose vector is not null, not empty, all finite and not all zero; as array<double>."""
+def is_usable(vector: str = "v") -> Column:
+    """Whether a vector is not null, not empty, all finite and not all zero; never null."""
     v = F.col(vector).cast("array<double>")
     bad = F.exists(v, lambda x: x.isNull() | F.isnan(x) | (F.abs(x) == float("inf")))
-    return rows.withColumn(vector, v).where(
-        F.col(vector).isNotNull() & ~F.coalesce(bad, F.lit(True)) & F.exists(vector, lambda x: x != 0)
-    )
+    return F.coalesce(v.isNotNull() & ~F.coalesce(bad, F.lit(True)) & F.exists(v, lambda x: x != 0), F.lit(False))
+
+
+def usable(rows: DataFrame, vector: str = "v") -> DataFrame:
+    """Rows whose vector is usable; as array<double>."""
+    return rows.withColumn(vector, F.col(vector).cast("array<double>")).where(is_usable(vector))
 
 
 def fixed_width(rows: DataFrame, vector: str = "v") -> tuple[DataFrame, int]:

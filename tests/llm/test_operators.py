@@ -227,6 +227,14 @@ def test_pivot_join(spark, monkeypatch):
     assert pivot_join.near_duplicates(vectors_frame(spark, [])).collect() == []
 
 
+def test_pivot_join_keeps_unusable_rows_that_share_a_key(spark):
+    v = [1.0, 2.0]
+    rows = [(1, v, 0), (1, None, 0), (1, [0.0, 0.0], 0), (2, v, 0), (2, v, None), (None, [9.0, -1.0], 0), (None, None, 0), (-1, [float("nan")] * 2, 0)]
+    got = pivot_join.near_duplicates(vectors_frame(spark, rows)).collect()
+    want = [(1, 1, 1, True), (1, 0, 1, True), (1, 0, 1, True), (2, 1, 1, False), (2, 0, 2, True), (None, 0, None, False), (None, 0, None, False), (-1, 0, -1, True)]
+    assert sorted(map(str, map(tuple, got))) == sorted(map(str, want))
+
+
 def test_forest_search(spark):
     rows = vector_rows()
     ok = {r[0]: np.array(r[1]) for r in rows if r[1] and len(r[1]) == 8 and None not in r[1] and np.isfinite(r[1]).all() and any(r[1])}
