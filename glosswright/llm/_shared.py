@@ -28,18 +28,30 @@ def slices(batches: Iterable[pa.RecordBatch], text: int = 1) -> Iterator[pa.Reco
                 yield batch.slice(a, b - a)
 
 
+def shared_folder(spark: SparkSession) -> str:
+    """The folder that driver and executors share: the one ``spark.checkpoint.dir`` names.
+
+    Only where that is unset and all runs on one machine, as in tests, a folder of
+    our own is taken; on a cluster an unset folder is an error.
+    """
+    named = spark.conf.get("spark.checkpoint.dir", None) or spark.sparkContext.getCheckpointDir()
+    if named:
+        return named
+    if not spark.sparkContext.master.startswith("local"):
+        raise RuntimeError("set spark.checkpoint.dir to a folder that the driver and all executors share")
+    own = "file://" + os.path.join(tempfile.gettempdir(), "glosswright-checkpoints")
+    spark.sparkContext.setCheckpointDir(own)
+    return own
+
+
 def cut(df: DataFrame, slim: bool = False) -> DataFrame:
     """Cuts lineage through the cluster's shared checkpoint folder.
 
     ``slim`` tables, narrow and computed cheaply, go to an eighth as many files as
     there are shuffle partitions: opening and committing files is most of their cost.
-
-    The folder is the one ``spark.checkpoint.dir`` names.  Only where that is
-    unset, as in tests on one machine, a folder of our own is taken.
     """
     spark = df.sparkSession
-    if not spark.conf.get("spark.checkpoint.dir", None) and not spark.sparkContext.getCheckpointDir():
-        spark.sparkContext.setCheckpointDir("file://" + os.path.join(tempfile.gettempdir(), "glosswright-checkpoints"))
+    shared_folder(spark)
     release(spark)
     if slim:
         df = df.coalesce(max(8, int(spark.conf.get("spark.sql.shuffle.partitions")) // 8))
@@ -59,12 +71,13 @@ def release(spark: SparkSession) -> None:
 def row_key(doc: str, text: str) -> list[Column]:
     """(``_id``, ``_tag``): which row this is, without a unique id being given.
 
-    A null id counts as the largest.  ``_tag`` (20 bits of the text's hash) tells
-    rows apart that repeat an id with another text; equal rows are one document.
+    A null id counts as the largest.  ``_tag``, the text's 64-bit hash, tells rows
+    apart that repeat an id (or have none) with another text; equal rows are one
+    document.
     """
     return [
         F.coalesce(F.col(doc).cast("long"), F.lit((1 << 63) - 1)).alias("_id"),
-        F.xxhash64(F.coalesce(F.col(text), F.lit(""))).bitwiseAND(F.lit((1 << 20) - 1)).alias("_tag"),
+        F.xxhash64(F.coalesce(F.col(text), F.lit(""))).alias("_tag"),
     ]
 
 

@@ -82,22 +82,20 @@ def anchors(data: np.ndarray, window: int, gram: int, ends: np.ndarray | None =
     stops = np.concatenate((first, [count])) - 1
     held = inside[starts]
     starts, stops = starts[held], stops[held]
-    # equal minima in a row may still be different positions: split where the
-    # leftmost occurrence leaves the window
-    out_s, out_e, out_p = [], [], []
-    while len(starts):
-        where = _leftmost(g, starts, span)
-        late = stops > where
-        out_s.append(starts)
-        out_e.append(np.minimum(stops, where))
-        out_p.append(where)
-        starts, stops = where[late] + 1, stops[late]
-    if not out_s:
-        e = np.empty(0, np.int64)
-        return np.empty(0, np.uint64), e, e
-    s, e, p = np.concatenate(out_s), np.concatenate(out_e), np.concatenate(out_p)
-    order = np.argsort(s, kind="stable")
-    return g[p[order]], s[order], e[order]
+    # a run ends where the leftmost occurrence of its minimum leaves the window
+    where = _leftmost(g, starts, span)
+    late = stops > where
+    s, e, p = starts, np.minimum(stops, where), where
+    if late.any():  # the same minimum stands there again: texts with a short period
+        n = stops[late] - where[late]
+        again = np.repeat(where[late] + 1 - (np.cumsum(n) - n), n) + np.arange(n.sum())
+        at = _leftmost(g, again, span)
+        new = np.concatenate(([True], (at[1:] != at[:-1]) | (again[1:] != again[:-1] + 1)))
+        last = np.concatenate((np.flatnonzero(new)[1:] - 1, [len(again) - 1]))
+        s, e, p = np.concatenate((s, again[new])), np.concatenate((e, again[last])), np.concatenate((p, at[new]))
+        order = np.argsort(s, kind="stable")
+        s, e, p = s[order], e[order], p[order]
+    return g[p], s, e
 
 
 def _leftmost(g: np.ndarray, starts: np.ndarray, span: int) -> np.ndarray:

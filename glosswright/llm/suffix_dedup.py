@@ -1,28 +1,33 @@
 """Exact repeats of ``window`` bytes by a depth-limited radix sort of suffixes.
 
-Suffixes are ordered only through their first ``window`` bytes, one digit a pass,
+Suffixes are ordered only through their first ``window`` bytes, digit after digit,
 most significant first; a suffix alone in its group leaves the sort, and the
-groups still equal after the last pass are exactly the repeated windows.  Digits
-are fingerprints of byte ranges (which byte string comes first doesn't matter for
-equality), so one pass handles many bytes:
+groups still equal after the last digit are exactly the repeated windows.  Digits
+are ranked by fingerprints (which byte string comes first doesn't matter for
+equality), so one pass handles many bytes.
 
-1. The first digit of a window is the gram at its anchor (``byte_windows``).  The
-   windows of a run share it, so a run is one record, not one for each byte.
-   A run whose gram occurs nowhere else leaves here.
+A record for every suffix would be over sixteen times the text.  So the passes that
+shuffle sort only the suffixes at content-defined anchors (``byte_windows``): every
+window holds exactly one, equal windows at the same place.  A *run* is the windows
+that share an anchor.
+
+1. The first digit is the 28-byte gram with which the anchor's suffix begins.  Runs
+   whose gram occurs nowhere else leave here.
 2. The second digit is the whole run.  Runs that are equal are sorted through all
    their windows: all but the first are repeats.
-3. The last digit, for the first runs of grams that have several kinds of runs, is
-   each window itself, read from the text again.
+3. The first runs of grams that have several kinds of runs give up their windows'
+   suffixes, read from the text again; these are sorted by four digits of a quarter
+   of the window, and after each digit those alone in their group leave.
 
 A worker first settles what it can within an Arrow batch and passes on one record
-of a kind, so a group holds at most a few records of every batch however often
-its bytes occur.  Grams with very many kinds of runs (``CROWD``) are not gathered
-by gram in pass 3: their windows are dealt out one by one, by fingerprint.
+of a kind, neighbouring repeats as one, so a group holds at most a few records of
+every batch however often its bytes occur, and a text of one letter is one record.
+Grams with very many kinds of runs (``CROWD``) are not gathered by gram in pass 3:
+their windows are dealt out one by one, by all digits at once.
 """
 
 from __future__ import annotations
 
-import hashlib
 from collections.abc import Iterator
 
 import numpy as np
@@ -36,16 +41,19 @@ from glosswright.llm.byte_windows import BASE_A, BASE_B, anchors, gram_hashes, m
 
 #: Width of the gram that makes the first digit.
 GRAM = 28
-#: Kinds of runs of a gram in a batch, or in all, from which its windows are dealt out singly.
+#: Digits of the last pass.
+DIGITS = 4
+#: Kinds of runs of a gram in a batch from which its windows are dealt out singly; in all, eight times as many.
 CROWD = 512
-#: Bytes of texts that are hashed in one go.
-JOINED = 1 << 18
+#: Bytes of texts that are hashed in one go; longer texts are taken in pieces that overlap.
+JOINED, PIECE = 1 << 18, 1 << 20
 #: Windows of crowded grams that a worker holds before it settles them among themselves.
 HELD = 1 << 20
 _U = np.uint64
-_REPEAT, _RUN, _MANY = 0, 1, 2
-# a run's place in its document: tag 20 bits, start 35 bits, number of windows less one 8 bits
-_START, _TAG = 8, 43
+_REPEAT, _RUN, _MANY, _SIGN = 0, 1, 2, 3
+# a run's place in its document: form 2 bits, start 31 bits, number of windows less one 30 bits
+_START, _FORM = 30, 61
+_MOST, _BARE = (1 << _START) - 1, (1 << _FORM) - 1
 
 
 def _hash_windows(data: np.ndarray, width: int) -> np.ndarray:
@@ -66,60 +74,92 @@ def _runs(data: np.ndarray, window: int, ends: np.ndarray):
     return g, kind, s, e - s
 
 
+def _joined_runs(texts: list[str], window: int):
+    """(text, gram, kind, start, windows less one) of the runs of texts, some laid end to end at a time."""
+    raw, of, at, size = [], [], [], 0
+
+    def run():
+        ends = np.cumsum([len(x) for x in raw])
+        g, kind, s, more = _runs(np.frombuffer(b"".join(raw), np.uint8), window, ends)
+        k = np.searchsorted(ends, s, side="right")
+        return np.array(of)[k], g, kind, s - (ends - [len(x) for x in raw])[k] + np.array(at)[k], more
+
+    for row, text in enumerate(texts):
+        data = text.encode()
+        for a in range(0, max(1, len(data) - window + 1), PIECE):
+            raw.append(data[a : a + PIECE + window - 1])
+            of.append(row)
+            at.append(a)
+            size += len(raw[-1])
+            if size >= JOINED:
+                yield run()
+                raw, of, at, size = [], [], [], 0
+    if raw:
+        yield run()
+
+
+def _rows_in_order(ids: np.ndarray, tags: np.ndarray) -> np.ndarray:
+    """The place of each row by id and hash; equal rows have the same."""
+    order = np.lexsort((tags, ids))
+    a, b = ids[order], tags[order]
+    rank = np.empty(len(ids), np.int64)
+    rank[order] = np.cumsum(np.concatenate(([0], (a[1:] != a[:-1]) | (b[1:] != b[:-1]))))[: len(ids)]
+    return rank
+
+
+def _neighbours(owner: np.ndarray, start: np.ndarray, more: np.ndarray):
+    """Runs of windows, sorted by owner and start, with those that follow each other as one: (which, more)."""
+    if not len(owner):
+        return np.empty(0, np.int64), np.empty(0, np.int64)
+    new = np.concatenate(([True], (owner[1:] != owner[:-1]) | (start[1:] > start[:-1] + more[:-1] + 1)))
+    first = np.flatnonzero(new)
+    reach = np.maximum.reduceat(start + more, first)
+    return first, reach - start[first]
+
+
 def _scan(window: int):
-    """Pass 1 within a batch: records (form, gram, kind, id, place)."""
+    """Passes 1 and 2 within a batch: records (key to gather by, kind, id, tag, place)."""
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
             ids, tags = batch.column(0).to_numpy(), batch.column(1).to_numpy()
-            cols: list[list[np.ndarray]] = [[], [], [], []]
-            base = 0
+            rank = _rows_in_order(ids, tags)
+            parts, base = [], 0
             for part in slices([batch], text=2):
-                texts = part.column(2).to_pylist()
-                a = 0
-                while a < len(texts):  # laid end to end, a few at a time
-                    raw, size, b = [], 0, a
-                    while b < len(texts) and (size < JOINED or b == a):
-                        raw.append(texts[b].encode())
-                        size += len(raw[-1])
-                        b += 1
-                    ends = np.cumsum([len(x) for x in raw])
-                    g, kind, s, more = _runs(np.frombuffer(b"".join(raw), np.uint8), window, ends)
-                    row = np.searchsorted(ends, s, side="right")
-                    start = s - (ends - [len(x) for x in raw])[row]
-                    at = base + a + row
-                    for c, v in zip(cols, (g, kind, ids[at], (tags[at] << _TAG) | (start << _START) | more)):
-                        c.append(v)
-                    a = b
+                for row, g, kind, s, more in _joined_runs(part.column(2).to_pylist(), window):
+                    parts.append((row + base, g, kind, s, more))
                 base += part.num_rows
-            if not cols[0]:
+            if not parts:
                 continue
-            gram, kind, doc, place = map(np.concatenate, cols)
-            del cols
-            order = np.lexsort((place, doc, kind, gram))
-            gram, kind, doc, place = gram[order], kind[order], doc[order], place[order]
+            row, gram, kind, start, more = map(np.concatenate, zip(*parts))
+            del parts
+            if not len(row):
+                continue
+            spot = rank[row] << 31 | start
+            order = np.lexsort((spot, kind, gram))
+            row, gram, kind, start, more, spot = (x[order] for x in (row, gram, kind, start, more, spot))
             new_gram = np.concatenate(([True], gram[1:] != gram[:-1]))
             new_kind = new_gram | np.concatenate(([True], kind[1:] != kind[:-1]))
-            group = np.cumsum(new_gram) - 1
-            kinds = np.bincount(group, weights=new_kind)[group]
-            form = np.full(len(gram), _RUN, np.int8)
-            form[kinds >= CROWD] = _MANY
+            kinds = np.bincount(np.cumsum(new_gram) - 1, weights=new_kind)
+            crowded = (kinds >= CROWD)[np.cumsum(new_gram) - 1]
             # what equals an earlier run of the batch is a repeat, unless it is that very place again
             lead = np.maximum.accumulate(np.where(new_kind, np.arange(len(gram)), 0))
-            again = ~new_kind & ((doc != doc[lead]) | (place != place[lead]))
-            form[~new_kind & ~again] = -1
-            form[again] = _REPEAT
-            # one record of a crowded gram tells its group so
-            sign = new_gram & (kinds >= CROWD)
-            out = [np.concatenate([x[form >= 0], y[sign]]) for x, y in ((gram, gram), (kind, kind), (doc, doc), (place, place))]
-            forms = np.concatenate([form[form >= 0], np.full(int(sign.sum()), 3, np.int8)])
+            again = np.flatnonzero(~new_kind & (spot != spot[lead]))
+            again = again[np.argsort(spot[again], kind="stable")]
+            first, many = _neighbours(rank[row[again]], start[again], more[again])
+            again = again[first]
+            ones = np.flatnonzero(new_kind)
+            sign = np.flatnonzero(new_gram & crowded)  # one record of a crowded gram tells its group so
+            of = np.concatenate([ones, sign, again])
+            form = np.concatenate([np.where(crowded[ones], _MANY, _RUN), np.full(len(sign), _SIGN), np.full(len(again), _REPEAT)])
+            place = form << _FORM | start[of] << _START | np.concatenate([more[ones], more[sign], many])
             # repeats are spread by document, crowded runs by kind; neither is gathered by gram
-            key = np.where(forms == _REPEAT, mix(out[2].view(np.uint64)), np.where(forms == _MANY, mix(out[0] ^ out[1]), out[0]))
-            for a in range(0, len(forms), 200_000):
+            key = np.where(form == _REPEAT, mix(tags[row[of]].view(np.uint64)), np.where(form == _MANY, mix(gram[of] ^ kind[of]), gram[of]))
+            for a in range(0, len(of), 200_000):
                 z = slice(a, a + 200_000)
                 yield pa.RecordBatch.from_arrays(
-                    [pa.array(forms[z]), pa.array(key[z].view(np.int64)), pa.array(out[1][z].view(np.int64)), pa.array(out[2][z]), pa.array(out[3][z])],
-                    names=["form", "gram", "kind", "id", "place"],
+                    [pa.array(x[z]) for x in (key.view(np.int64), kind[of].view(np.int64), ids[row[of]], tags[row[of]], place)],
+                    names=["gram", "kind", "id", "tag", "place"],
                 )
 
     return run
@@ -137,18 +177,19 @@ def _merge(spans: np.ndarray) -> np.ndarray:
 
 
 def _places(values) -> tuple[np.ndarray, np.ndarray]:
-    v = np.asarray(values, np.int64)
-    return (v >> _START) & ((1 << 35) - 1), (v & 255) + 1
+    """Starts and numbers of windows of packed places."""
+    v = np.asarray(values, np.int64) & _BARE
+    return v >> _START, (v & _MOST) + 1
 
 
-def _batch(gram, check, raw, doc, place) -> pa.RecordBatch:
+def _batch(gram, check, raw, doc, tag, place) -> pa.RecordBatch:
     none = [None] * len(doc)
     return pa.RecordBatch.from_arrays(
         [
             pa.array(none if gram is None else gram, pa.int64()), pa.array(none if check is None else check, pa.int64()),
-            pa.array(none if raw is None else raw, pa.binary()), pa.array(doc, pa.int64()), pa.array(place, pa.int64()),
+            pa.array(none if raw is None else raw, pa.binary()), pa.array(doc, pa.int64()), pa.array(tag, pa.int64()), pa.array(place, pa.int64()),
         ],
-        names=["gram", "check", "bytes", "id", "place"],
+        names=["gram", "check", "bytes", "id", "tag", "place"],
     )
 
 
@@ -160,86 +201,120 @@ def _windows(window: int):
     """
 
     def settled(singles):
-        h, doc, place = (np.concatenate(x) for x in zip(*singles))
-        order = np.lexsort((place, doc, h[:, 1], h[:, 0]))
-        h, doc, place = h[order].view(np.int64), doc[order], place[order]
+        h, doc, tag, place = (np.concatenate(x) for x in zip(*singles))
+        order = np.lexsort((place, tag, doc, h[:, 1], h[:, 0]))
+        h, doc, tag, place = h[order].view(np.int64), doc[order], tag[order], place[order]
         new = np.concatenate(([True], (h[1:] != h[:-1]).any(axis=1)))
         lead = np.maximum.accumulate(np.where(new, np.arange(len(new)), 0))
-        again = (doc != doc[lead]) | (place != place[lead])
+        again = (doc != doc[lead]) | (tag != tag[lead]) | (place != place[lead])
         for a in range(0, len(new), 200_000):
             z = slice(a, a + 200_000)
             n, r = new[z], again[z]
-            yield _batch(h[z, 0][n], h[z, 1][n], None, doc[z][n], place[z][n])
+            yield _batch(h[z, 0][n], h[z, 1][n], None, doc[z][n], tag[z][n], place[z][n])
             if r.any():
-                yield _batch(None, None, None, doc[z][r], place[z][r])
+                yield _batch(None, None, None, doc[z][r], tag[z][r], place[z][r])
 
     def run(batches):
         for b in batches:
-            singles, waiting, out = [], 0, []
+            singles, waiting, out, held = [], 0, [], 0
             for row in range(b.num_rows):
                 doc, tag, text, asked = (b.column(k)[row].as_py() for k in range(4))
                 data = text.encode()
-                start, count = _places([x["place"] for x in asked])
-                for x, s, n in zip(asked, start.tolist(), count.tolist()):
+                places = [x["place"] for x in asked]
+                start, count = _places(places)
+                for x, p, s, n in zip(asked, places, start.tolist(), count.tolist()):
                     raw = data[s : s + n + window - 1]
-                    if x["form"] == _RUN:
-                        out.append((x["gram"], raw, doc, x["place"]))
+                    if p >> _FORM == _RUN:
+                        out.append((x["gram"], raw, doc, tag, p & _BARE))
+                        held += len(raw)
                     else:
                         h = _hash_windows(np.frombuffer(raw, np.uint8), window)
-                        singles.append((h, np.full(n, doc), (tag << _TAG) | (np.arange(s, s + n) << _START)))
+                        singles.append((h, np.full(n, doc), np.full(n, tag), np.arange(s, s + n) << _START))
                         waiting += n
-                if waiting >= HELD:
-                    yield from settled(singles)
-                    singles, waiting = [], 0
-                if len(out) >= 20_000:
-                    g, raw, d, p = zip(*out)
-                    yield _batch(g, None, raw, d, p)
-                    out = []
+                    if waiting >= HELD:
+                        yield from settled(singles)
+                        singles, waiting = [], 0
+                    if held >= 4 << 20:
+                        g, raw, d, t, p = zip(*out)
+                        yield _batch(g, None, raw, d, t, p)
+                        out, held = [], 0
             if singles:
                 yield from settled(singles)
             if out:
-                g, raw, d, p = zip(*out)
-                yield _batch(g, None, raw, d, p)
+                g, raw, d, t, p = zip(*out)
+                yield _batch(g, None, raw, d, t, p)
 
     return run
 
 
+def _equal_windows(data: np.ndarray, at: np.ndarray, group: np.ndarray, window: int) -> tuple[np.ndarray, np.ndarray]:
+    """The windows, by index into ``at``, that have an equal one in their group, and their groups of equals.
+
+    Radix sort, most significant digit first: each pass orders what is left by the
+    next quarter of the window, and those that are then alone leave.
+    """
+    width = -(-window // DIGITS)
+    digit = gram_hashes(data, width, BASE_B)
+    left = np.arange(len(at))
+    for k in range(DIGITS):
+        d = digit[at[left] + min(k * width, window - width)]
+        order = np.lexsort((d, group))
+        left, group, d = left[order], group[order], d[order]
+        new = np.concatenate(([True], (group[1:] != group[:-1]) | (d[1:] != d[:-1])))[: len(left)]
+        group = np.cumsum(new) - 1
+        more = np.bincount(group)[group] > 1
+        left, group = left[more], group[more]
+    return left, group
+
+
 def _settle(window: int):
     """Pass 3, the groups' side: rows come sorted by gram; equal windows after the first are repeats."""
 
+    def later(doc, tag, spot, group):
+        """Which of the windows, in groups of equals, are not the first of their group."""
+        order = np.lexsort((spot, tag, doc, group))
+        doc, tag, spot, group = doc[order], tag[order], spot[order], group[order]
+        lead = np.maximum.accumulate(np.where(np.concatenate(([True], group[1:] != group[:-1]))[: len(group)], np.arange(len(group)), 0))
+        return order[(doc != doc[lead]) | (tag != tag[lead]) | (spot != spot[lead])]
+
     def settle(t: pa.Table):
         """Rows with bytes are runs, with a check single windows, with neither settled before."""
-        raw, doc, place = t.column(2).to_pylist(), t.column(3).to_numpy(), t.column(4).to_numpy()
+        raw, doc, tag, place = t.column(2).to_pylist(), *(t.column(k).to_numpy() for k in (3, 4, 5))
         check = t.column(1)
-        single = np.flatnonzero(check.is_valid().to_numpy(zero_copy_only=False))
+        lone = np.flatnonzero(check.is_valid().to_numpy(zero_copy_only=False))
         runs = np.flatnonzero([x is not None for x in raw])
-        done = np.setdiff1d(np.arange(len(raw)), np.concatenate([single, runs]))
+        done = np.setdiff1d(np.arange(len(raw)), np.concatenate([lone, runs]))
         gram = t.column(0).fill_null(0).to_numpy()
-        lone = check.take(pa.array(single)).to_numpy().astype(np.int64)
-        raw = [raw[k] for k in runs.tolist()]
-        count = np.array([len(x) - window + 1 for x in raw], np.int64)
-        h = _hash_windows(np.frombuffer(b"".join(raw), np.uint8), window).view(np.int64)
-        base = np.cumsum([0, *map(len, raw)])[:-1]
-        at = np.arange(count.sum()) - np.repeat(np.cumsum(count) - count, count)
-        h = h[np.repeat(base, count) + at]
-        owner = np.repeat(runs, count)
-        spot = place[owner] - (place[owner] & 255) + (at << _START)
-        key = [np.concatenate([gram[owner], gram[single]]), np.concatenate([h[:, 0], gram[single]]), np.concatenate([h[:, 1], lone])]
-        doc_, spot = np.concatenate([doc[owner], doc[single]]), np.concatenate([spot, place[single]])
-        order = np.lexsort((spot, doc_, key[2], key[1], key[0]))
-        doc_, spot, key = doc_[order], spot[order], [k[order] for k in key]
-        again = np.zeros(len(order), bool)
-        if len(order):
-            new = np.concatenate(([True], (key[0][1:] != key[0][:-1]) | (key[1][1:] != key[1][:-1]) | (key[2][1:] != key[2][:-1])))
-            lead = np.maximum.accumulate(np.where(new, np.arange(len(new)), 0))
-            again = (doc_ != doc_[lead]) | (spot != spot[lead])
-        return np.concatenate([doc_[again], doc[done]]), np.concatenate([spot[again], place[done]])
+        out = [(doc[done], tag[done], place[done])]
+        if len(lone):
+            c = check.take(pa.array(lone)).to_numpy().astype(np.int64)
+            order = np.lexsort((c, gram[lone]))
+            g, c, lone = gram[lone][order], c[order], lone[order]
+            group = np.cumsum(np.concatenate(([0], (g[1:] != g[:-1]) | (c[1:] != c[:-1]))))
+            k = lone[later(doc[lone], tag[lone], place[lone], group)]
+            out.append((doc[k], tag[k], place[k]))
+        if len(runs):
+            raw = [raw[k] for k in runs.tolist()]
+            count = np.array([len(x) - window + 1 for x in raw], np.int64)
+            base = np.cumsum([0, *map(len, raw)])[:-1]
+            step = np.arange(count.sum()) - np.repeat(np.cumsum(count) - count, count)
+            owner = np.repeat(runs, count)
+            kept, group = _equal_windows(np.frombuffer(b"".join(raw), np.uint8), np.repeat(base, count) + step, np.unique(gram[owner], return_inverse=True)[1], window)
+            owner, step = owner[kept], step[kept]
+            start = (place[owner] >> _START) + step
+            k = later(doc[owner], tag[owner], start, group)
+            owner, start = owner[k], start[k]
+            order = np.lexsort((start, owner))
+            first, more = _neighbours(owner[order], start[order], np.zeros(len(order), np.int64))
+            owner, start = owner[order][first], start[order][first]
+            out.append((doc[owner], tag[owner], start << _START | more))
+        return map(np.concatenate, zip(*out))
 
     def flush(t: pa.Table):
         if t.num_rows:
-            d, p = settle(t)
-            for a in range(0, len(d), 200_000):
-                yield pa.RecordBatch.from_arrays([pa.array(d[a : a + 200_000]), pa.array(p[a : a + 200_000])], names=["id", "place"])
+            cols = [*settle(t)]
+            for a in range(0, len(cols[0]), 200_000):
+                yield pa.RecordBatch.from_arrays([pa.array(c[a : a + 200_000]) for c in cols], names=["id", "tag", "place"])
 
     def run(batches):
         held: list[pa.RecordBatch] = []
@@ -247,7 +322,7 @@ def _settle(window: int):
         for batch in batches:
             held.append(batch)
             size += batch.num_rows
-            if size >= 8_000:  # a group has at most 64 CROWD kinds
+            if size >= 8_000:  # a group has at most 8 CROWD kinds
                 t = pa.Table.from_batches(held).combine_chunks()
                 g = t.column(0).fill_null(0).to_numpy()
                 change = np.flatnonzero(g[1:] != g[:-1])
@@ -286,58 +361,54 @@ def repeats(
     rows = rows.select("*", *row_key("_doc", "_text"))
     long_ = rows.where(F.octet_length("_text") >= window).select("_id", "_tag", "_text")
 
-    scan = long_.mapInArrow(_scan(window), "form byte, gram long, kind long, id long, place long")
-    crowded = F.when(F.col("form") == 3, 1).otherwise(0)
+    scan = long_.mapInArrow(_scan(window), "gram long, kind long, id long, tag long, place long")
+    form = F.shiftright("place", _FORM)
     by_gram = Window.partitionBy("gram")
     by_kind = Window.partitionBy("gram", "kind")
-    first = F.min(F.when(F.col("form") == _RUN, F.struct("id", "place"))).over(by_kind)
+    first = F.min(F.when(form == _RUN, F.struct("id", "tag", "place"))).over(by_kind)
+    kind = F.when(form.isin(_RUN, _SIGN), F.col("kind"))
     graded = (
         scan.repartition("gram")  # serves the windows over (gram, kind) as well
         .withColumn("first", first)
-        .withColumn("many", F.max(crowded).over(by_gram))
-        .withColumn("low", F.min(F.when(F.col("form").isin(_RUN, 3), F.col("kind"))).over(by_gram))
-        .withColumn("high", F.max(F.when(F.col("form").isin(_RUN, 3), F.col("kind"))).over(by_gram))
-        .withColumn("n", F.sum(F.when(F.col("form") == _RUN, 1).otherwise(0)).over(by_gram))
+        .withColumn("many", F.max(F.when(form == _SIGN, 1).otherwise(0)).over(by_gram))
+        .withColumn("low", F.min(kind).over(by_gram))
+        .withColumn("high", F.max(kind).over(by_gram))
+        .withColumn("n", F.sum(F.when(form == _RUN, 1).otherwise(0)).over(by_gram))
     )
-    again = (F.col("first.id") != F.col("id")) | (F.col("first.place") != F.col("place"))
+    again = (F.col("first.id") != F.col("id")) | (F.col("first.tag") != F.col("tag")) | (F.col("first.place") != F.col("place"))
     fate = (
-        F.when(F.col("form") == _REPEAT, _REPEAT)
-        .when(F.col("form") == _MANY, _MANY)
-        .when(F.col("form") == 3, None)
+        F.when(form == _REPEAT, _REPEAT)
+        .when(form == _MANY, _MANY)
+        .when(form == _SIGN, None)
         .when(again, _REPEAT)
-        .when((F.col("many") == 1) | (F.col("n") > 64 * CROWD), _MANY)
+        .when((F.col("many") == 1) | (F.col("n") > 8 * CROWD), _MANY)
         .when(F.col("low") != F.col("high"), _RUN)
     )
-    fated = (
-        graded.withColumn("fate", fate).where("fate is not null")
-        .select("id", F.shiftrightunsigned("place", _TAG).alias("tag"), F.col("fate").cast("byte").alias("form"), "gram", "place")
-    )
+    place = F.col("place").bitwiseAND(F.lit(_BARE)).bitwiseOR(F.shiftleft(F.col("fate").cast("long"), _FORM))
+    fated = graded.withColumn("fate", fate).where("fate is not null").select("id", "tag", "fate", "gram", place.alias("place"))
     # one row a document: places that are settled, and runs to be looked at closely
     state = cut(
         fated.groupBy("id", "tag").agg(
-            F.collect_list(F.when(F.col("form") == _REPEAT, F.col("place"))).alias("done"),
-            F.collect_list(F.when(F.col("form") != _REPEAT, F.struct("form", "gram", "place"))).alias("open"),
+            F.collect_list(F.when(F.col("fate") == _REPEAT, F.col("place"))).alias("done"),
+            F.collect_list(F.when(F.col("fate") != _REPEAT, F.struct("gram", "place"))).alias("open"),
         ),
         slim=True,
     )
     asked = state.where(F.size("open") > 0).select(F.col("id").alias("_id"), F.col("tag").alias("_tag"), "open")
     close = (
         long_.join(asked, ["_id", "_tag"]).select("_id", "_tag", "_text", "open")
-        .mapInArrow(_windows(window), "gram long, check long, bytes binary, id long, place long")
+        .mapInArrow(_windows(window), "gram long, check long, bytes binary, id long, tag long, place long")
     )
     settled = (
-        close.repartition(F.coalesce("gram", F.xxhash64("id"))).sortWithinPartitions("gram")
-        .mapInArrow(_settle(window), "id long, place long")
+        close.repartition(F.coalesce("gram", F.xxhash64("tag"))).sortWithinPartitions("gram")
+        .mapInArrow(_settle(window), "id long, tag long, place long")
     )
-    late = settled.select("id", F.shiftrightunsigned("place", _TAG).alias("tag"), "place")
-    late = late.groupBy("id", "tag").agg(F.collect_list("place").alias("late"))
+    late = settled.groupBy("id", "tag").agg(F.collect_list("place").alias("late"))
+    none = F.array().cast("array<long>")
     found = cut(
         state.select("id", "tag", "done").where(F.size("done") > 0)
         .join(late, ["id", "tag"], "full")
-        .select(
-            F.col("id").alias("_id"), F.col("tag").alias("_tag"),
-            F.concat(F.coalesce("done", F.array().cast("array<long>")), F.coalesce("late", F.array().cast("array<long>"))).alias("_places"),
-        ),
+        .select(F.col("id").alias("_id"), F.col("tag").alias("_tag"), F.concat(F.coalesce("done", none), F.coalesce("late", none)).alias("_places")),
         slim=True,
     )
     return rows, found
@@ -351,8 +422,8 @@ def dedup(docs: DataFrame, window: int = 100, doc: str = "doc_id", text: str = "
     that went, as [start, end); ``kept`` is the rest, as bytes.  Null and empty
     texts, and texts under ``window`` bytes, stay as they are (null: no bytes).  A
     null id counts as the largest.  Rows equal in id and text are one document (each
-    stays, alike); rows with one id and other texts come in the order of the
-    low 20 bits of their texts' hash.  An empty table gives an empty table.
+    stays, alike); rows with one id, or none, and other texts come in the order of
+    their texts' 64-bit hashes.  An empty table gives an empty table.
     """
     rows, found = repeats(docs, window, doc, text)
     release(docs.sparkSession)
