@@ -31,10 +31,11 @@ from glosswright.llm._shared import slices
 from glosswright.llm.training import MAX_ROWS, labelled_sample, logistic
 
 LANDMARKS, NEGATIVES, ROUNDS = 128, 6_000, 4
-#: Entries that a worker's memo of words may reach before it is emptied.
-MEMO = 400_000
+#: Entries that a worker's memo of words may reach before it is emptied, and letters of the longest word it keeps.
+MEMO, KEPT = 400_000, 48
 _BLANK = re.compile(r"[\W_]+")
-_SPELT = re.compile(r"(?<!\w)(?:\w[\W_]{1,3}){2,}\w(?!\w)")
+#: Letters that stand alone in a row.  No character is both a letter and a gap here, so there is one way to match.
+_SPELT = re.compile(r"(?<![^\W_])(?:[^\W_][\W_]{1,3}){2,}[^\W_](?![^\W_])")
 _LOWEST = -3.0
 
 
@@ -60,6 +61,7 @@ class ToxicityModel:
     bias: float
     bend: np.ndarray
     memo: dict[str, float] = field(default_factory=dict, repr=False)
+    long: list[str] = field(default_factory=list, repr=False)
 
     def __getstate__(self):
         return self.__dict__ | {"memo": {}}
@@ -76,6 +78,13 @@ class ToxicityModel:
         flat = list({w for p in parts for w in p})
         of = dict(zip(flat, self.words(flat).tolist()))
         self.memo.update((t, max([of[w] for w in p], default=_LOWEST)) for t, p in zip(new, parts))
+        self.long = [t for t in new if len(t) > KEPT]
+
+    def forget(self) -> None:
+        """Drops the long words that the last call learnt, so that the memo is bounded in bytes too."""
+        for t in self.long:
+            del self.memo[t]
+        self.long = []
 
     def highest(self, texts: list[str | None]) -> np.ndarray:
         """The decision on each text's most toxic word."""
@@ -85,6 +94,7 @@ class ToxicityModel:
             self.learn(set().union(*split))
             memo = self.memo
             out += [max([memo[t] for t in s], default=_LOWEST) for s in split]
+            self.forget()
         return np.array(out)
 
     def probability(self, highest: np.ndarray) -> np.ndarray:
