@@ -26,8 +26,8 @@ from pyspark.sql import functions as F
 
 from glosswright.llm._shared import slices
 
-#: Entries that a worker's memo of words may reach before it is emptied.
-MEMO = 400_000
+#: Entries that a worker's memo of words may reach before it is emptied, and letters of the longest word it keeps.
+MEMO, KEPT = 400_000, 48
 _NONE = np.int32(2**31 - 1)
 _SPACE = r"\t-\r \x85\xa0  -     　"
 
@@ -69,6 +69,7 @@ class Vocabulary:
         self.only_latin = re.compile("[\x00-\x7fß-öø-ÿ]*")
         self.marks = regex.compile("(" + "|".join(map(regex.escape, self.special)) + ")") if self.special else None
         self.memo: dict[str, bytes] = {"\0" + t: i.to_bytes(4, "little") for t, i in self.special.items()}
+        self.long: list[str] = []
 
     def rank(self, a: np.ndarray, b: np.ndarray) -> np.ndarray:
         key = a.astype(np.int64) << 20 | b
@@ -148,6 +149,7 @@ class Vocabulary:
         ids, count = self.encode_words([w.encode() for w in new])
         raw, ends = ids.astype("<u4").tobytes(), (np.cumsum(count) * 4).tolist()
         self.memo.update(zip(new, [raw[a:b] for a, b in zip([0, *ends[:-1]], ends)]))
+        self.long = [w for w in new if len(w) > KEPT]
 
     def encode_batch(self, texts: list[str | None]) -> list[np.ndarray]:
         """The ids of whole texts, as uint32 arrays; null is empty."""
@@ -157,6 +159,9 @@ class Vocabulary:
             self.learn(set().union(*split))
             memo = self.memo
             out += [np.frombuffer(b"".join([memo[c] for c in s]), "<u4") for s in split]
+            for w in self.long:  # so that the memo is bounded in bytes too
+                del memo[w]
+            self.long = []
         return out
 
     def decode(self, ids) -> str:
