@@ -4,10 +4,16 @@ Trees are fitted on a bounded sample: a node parts its points by the hyperplane
 midway between two of them, down to leaves of about ``LEAF`` points.  Every vector is
 indexed, in one leaf of each tree.  A query walks all trees through one shared
 priority queue, always into the subtree that the least margin keeps it from, until
-it has met ``share`` of all vectors beside its own leaf of every tree (or all trees
-are walked); the leaves' vectors are then compared exactly.
+it has met a share of all vectors (or all trees are walked); the leaves' vectors are
+then compared exactly.
 
-The forest (TREES x nodes x width floats, a bound set by the sample) goes to the
+How many trees, and which share, is measured when the forest is fitted: some of the
+sample's vectors look for their neighbours within the sample, and the setting that
+finds ``AIM`` of them for the least share is taken.  Vectors that cluster need a
+hundredth or so; vectors without near neighbours need most of the table, as any
+index does, and the search then costs what comparing in blocks costs.
+
+The forest (trees x nodes x width floats, a bound set by the sample) goes to the
 workers once.  Queries are joined to leaves in blocks; each block returns only its
 queries' best, so no list of candidates is ever gathered.
 """
@@ -16,6 +22,7 @@ from __future__ import annotations
 
 import heapq
 from dataclasses import dataclass
+from functools import reduce
 
 import numpy as np
 import pandas as pd
@@ -25,12 +32,12 @@ from pyspark.sql import functions as F
 from glosswright.llm import vectors
 from glosswright.llm._shared import cut
 
-#: Bounds of the index: vectors that trees are fitted on, trees, points aimed at in a leaf.
-SAMPLE, TREES, LEAF = 16_384, 4, 128
-#: Share of all vectors that a query's leaves hold, each tree's counted by itself.
-SHARE = 1.2
-#: Queries of a block that meets a leaf, vectors of a leaf's block.
-QUERIES, BLOCK = 256, 2_048
+#: Bounds of the index: vectors that trees are fitted on, numbers of trees tried, points aimed at in a leaf.
+SAMPLE, TREES, LEAF = 16_384, (2, 4, 8), 128
+#: Queries of the sample that measure the share, and the part of their neighbours that it must find.
+TRIALS, AIM = 96, 0.97
+#: Queries of a block that meets a leaf.
+QUERIES = 256
 
 
 @dataclass
@@ -104,37 +111,69 @@ def walk(forest: list[Tree], sizes: list[np.ndarray], q: np.ndarray, budget: flo
     return found
 
 
+def needed(forest: list[Tree], x: np.ndarray, k: int) -> float:
+    """The share of the sample's entries that finds AIM of the ``k`` nearest of its trial queries."""
+    if len(x) <= k + 1:
+        return float(len(forest))
+    leaf = np.array([t.leaves(x) for t in forest])
+    sizes = [np.bincount(n) for n in leaf]
+    met = []
+    for q in np.linspace(0, len(x) - 1, min(TRIALS, len(x))).astype(int):
+        d = ((x - x[q]) ** 2).sum(axis=1)
+        d[q] = np.inf
+        best = np.argpartition(d, k)[:k]
+        seen, at = 0, {}
+        for t, n in walk(forest, sizes, x[q], np.inf):
+            seen += int(sizes[t][n])
+            at[t, n] = seen
+        met += [min(at[t, n] for t, n in enumerate(leaf[:, b])) for b in best.tolist()]
+    return float(np.quantile(met, AIM, method="higher")) / len(x)
+
+
 def search(
     rows: DataFrame, is_query: Column, k: int = 10, key: str = "vec_id", vector: str = "embedding",
-    trees: int = TREES, share: float = SHARE, sample: int = SAMPLE,
+    trees: tuple[int, ...] = TREES, share: float | None = None, sample: int = SAMPLE,
 ) -> DataFrame:
     """(query_id, rank, key, score): each query's k nearest found by Euclidean distance, nearest first.
 
     ``is_query`` tells the queries among the rows; a query's own row is no candidate.
     Equal distances go to the smaller key.  Rows without a key, and vectors that are
-    null, zero, of another width than most, or hold null or non-finite components,
-    take no part.  Rows that repeat a key and its vector are one; of other rows with
-    one key each is a candidate.  With fewer than k candidates all are returned if
-    met.  An empty table gives an empty table.
+    null, zero, or hold null or non-finite components, take no part.  Vectors of
+    another width have no distance to each other: each width has a forest of its own.
+    Rows that repeat a key and its vector are one; of other rows with one key each is
+    a candidate.  With fewer than k candidates all are returned if met.  An empty
+    table gives an empty table.  ``share`` replaces the measured share.
     """
-    spark = rows.sparkSession
     base = rows.select(F.col(key).cast("long").alias("id"), F.col(vector).alias("v"), is_query.alias("q")).where("id is not null")
-    v, width = vectors.fixed_width(vectors.usable(base))
     # of a vector's copies none but the k + 1 smallest keys can be among anyone's k nearest
-    v = cut(v.groupBy("id", "v").agg(F.max("q").alias("q")))
+    v = cut(vectors.usable(base).groupBy("id", "v").agg(F.max("q").alias("q")))
     places = Window.partitionBy("h", "v").orderBy("id")
     numbered = v.withColumn("h", vectors.packed("v")).withColumn("slot", F.pmod(F.xxhash64("id"), F.lit(64)))
     some = numbered.withColumn("r", F.row_number().over(Window.partitionBy("h", "v", "slot").orderBy("id"))).where(F.col("r") <= k + 1)
     points = cut(some.withColumn("r", F.row_number().over(places)).where(F.col("r") <= k + 1).select("id", "v"))
-    total = points.count()
+    asked = v.where("q").select("id", "v")
+    totals = {r["d"]: r["n"] for r in points.groupBy(F.size("v").alias("d")).agg(F.count("*").alias("n")).collect()}  # a number a width
+    wide = {d: (points.where(F.size("v") == d), asked.where(F.size("v") == d)) for d in sorted(totals)}
+    found = [_search(*wide[d], d, totals[d], k, trees, share, sample) for d in wide] or [_search(points, asked, 1, 0, k, trees, share, sample)]
+    return reduce(DataFrame.union, found).select("query_id", "rank", F.col("id").alias(key), "score")
+
+
+def _search(points: DataFrame, asked: DataFrame, width: int, total: int, k: int, trees: tuple[int, ...], share: float | None, sample: int) -> DataFrame:
+    """(query_id, rank, id, score) among ``total`` points of one width."""
+    spark = points.sparkSession
     draw = F.pmod(F.xxhash64(F.lit(3), "id"), F.lit(1 << 30)) / float(1 << 30)
     drawn = points.where(draw < min(1.0, sample / max(1, total))).orderBy("id").toPandas()
-    x = np.array(drawn["v"].tolist()).reshape(len(drawn), width) if len(drawn) else np.zeros((0, max(1, width)))
-    forest = [grow(x, 100 + t) for t in range(trees)]
+    x = np.array(drawn["v"].tolist()).reshape(len(drawn), width)
+    every = [grow(x, 100 + t) for t in range(max(trees))]
+    if share is None:
+        share, count = min((needed(every[:t], x, k), t) for t in trees)
+    else:
+        count = trees[0]
+    forest = every[:count]
     sent = spark.sparkContext.broadcast(forest)
 
     def matrix(column):
-        return np.array(column.tolist()).reshape(len(column), max(1, width))
+        return np.array(column.tolist()).reshape(len(column), width)
 
     def index(batches):
         for pdf in batches:
@@ -151,22 +190,26 @@ def search(
         .agg(F.collect_list(F.struct("id", "x")).alias("members")).withColumn("n", F.size("members"))
     )
     counts = leaves.groupBy("tree", "leaf").agg(F.sum("n").alias("n")).collect()  # a number for each leaf of the forest
-    sizes = [np.zeros(int(max([r["leaf"] for r in counts if r["tree"] == t], default=0)) + 1 + len(forest[t].normal), np.int64) for t in range(trees)]
+    sizes = [np.zeros(len(t.normal) + 1, np.int64) for t in forest]
     for r in counts:
         sizes[r["tree"]][r["leaf"]] = r["n"]
     known = spark.sparkContext.broadcast(sizes)
-    # a query's own leaf of every tree comes first and holds much the same vectors
-    budget = share * total + trees * (LEAF + k)
+    budget = max(share * total, count * (LEAF + k))
 
     def ask(batches):
         for pdf in batches:
+            out = []
             for i, q in zip(pdf["id"], matrix(pdf["v"])) if len(pdf) else ():
-                met = walk(sent.value, known.value, q, budget)
-                yield pd.DataFrame({"query_id": i, "tree": [t for t, _ in met], "leaf": [n for _, n in met], "y": q.tobytes()})
+                out += [(i, t, n, q.tobytes()) for t, n in walk(sent.value, known.value, q, budget)]
+                if len(out) >= 20_000:
+                    yield pd.DataFrame(out, columns=["query_id", "tree", "leaf", "y"])
+                    out = []
+            if out:
+                yield pd.DataFrame(out, columns=["query_id", "tree", "leaf", "y"])
 
-    asked = v.where("q").select("id", "v").mapInPandas(ask, "query_id long, tree int, leaf int, y binary")
+    walks = asked.mapInPandas(ask, "query_id long, tree int, leaf int, y binary")
     group = F.pmod(F.xxhash64("query_id"), F.lit(max(1, total // (100 * QUERIES))))
-    blocks = asked.groupBy("tree", "leaf", group.alias("g")).agg(F.collect_list(F.struct("query_id", "y")).alias("queries"))
+    blocks = walks.groupBy("tree", "leaf", group.alias("g")).agg(F.collect_list(F.struct("query_id", "y")).alias("queries"))
     met = blocks.join(leaves, ["tree", "leaf"]).select("queries", "members")
 
     def best(batches):
@@ -175,23 +218,24 @@ def search(
             for queries, members in zip(pdf["queries"], pdf["members"]):
                 qi, q = np.array([r["query_id"] for r in queries]), np.frombuffer(b"".join(r["y"] for r in queries)).reshape(len(queries), width)
                 ci, c = np.array([r["id"] for r in members]), np.frombuffer(b"".join(r["x"] for r in members)).reshape(len(members), width)
-                rough = (q * q).sum(1)[:, None] + (c * c).sum(1)[None] - 2 * q @ c.T
+                qq, cc = (q * q).sum(1), (c * c).sum(1)
+                rough = qq[:, None] + cc[None] - 2 * q @ c.T
                 rough[qi[:, None] == ci[None]] = np.inf
                 most = min(k, len(ci))
-                if len(ci) > most:  # with room for rounding: what ties with the k-th comes too
-                    edge = np.partition(rough, most - 1, axis=1)[:, most - 1 : most]
-                    i, j = np.nonzero(rough <= edge + 1e-9 * (1 + np.abs(edge)))
-                else:
-                    i, j = np.nonzero(np.isfinite(rough))
-                live = np.isfinite(rough[i, j])
-                i, j = i[live], j[live]
+                i, j = np.nonzero(np.isfinite(rough))
+                if len(ci) > most:
+                    # rounding is relative to the norms, not to the distance: what may be nearer than the k-th comes too
+                    edge = np.partition(rough, most - 1, axis=1)[:, most - 1]
+                    room = 8e-16 * (width + 8) * (qq + cc.max())
+                    i, j = np.nonzero((rough <= (edge + room)[:, None]) & np.isfinite(rough))
                 d = np.sqrt(((q[i] - c[j]) ** 2).sum(axis=1))
-                out.append(pd.DataFrame({"query_id": qi[i], "id": ci[j], "score": d}))
+                order = np.lexsort((ci[j], d, i))
+                i, j, d = i[order], j[order], d[order]
+                near = np.arange(len(i)) - np.searchsorted(i, i) < k
+                out.append(pd.DataFrame({"query_id": qi[i[near]], "id": ci[j[near]], "score": d[near]}))
             if out:
                 yield pd.concat(out, ignore_index=True)
 
     near = met.mapInPandas(best, "query_id long, id long, score double").groupBy("query_id", "id").agg(F.min("score").alias("score"))
     order = Window.partitionBy("query_id").orderBy("score", "id")
-    return near.withColumn("rank", F.row_number().over(order)).where(F.col("rank") <= k).select(
-        "query_id", "rank", F.col("id").alias(key), "score"
-    )
+    return near.withColumn("rank", F.row_number().over(order)).where(F.col("rank") <= k).select("query_id", "rank", "id", "score")

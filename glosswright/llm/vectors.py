@@ -18,13 +18,6 @@ def usable(rows: DataFrame, vector: str = "v") -> DataFrame:
     return rows.withColumn(vector, F.col(vector).cast("array<double>")).where(is_usable(vector))
 
 
-def fixed_width(rows: DataFrame, vector: str = "v") -> tuple[DataFrame, int]:
-    """The rows with vectors of the most frequent width (of equals the larger), and that width; 0 if there are none."""
-    top = rows.groupBy(F.size(vector).alias("d")).agg(F.count("*").alias("n")).orderBy(F.desc("n"), F.desc("d")).first()
-    width = int(top["d"]) if top else 0
-    return rows.where(F.size(vector) == width), width
-
-
 def packed(vector: str) -> F.col:
     """An array of doubles as text that is equal only for equal vectors (-0.0 counts as 0.0)."""
     return F.xxhash64(F.transform(vector, lambda x: x + F.lit(0.0)))
