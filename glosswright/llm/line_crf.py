@@ -11,6 +11,7 @@ All of it runs in numpy over many texts laid end to end.
 
 from __future__ import annotations
 
+from collections.abc import Iterator
 from dataclasses import dataclass
 
 import numpy as np
@@ -31,18 +32,46 @@ _KIND[[9, 11, 12, 13, 32]] = 4
 _KIND[[ord(c) for c in ".,;:!?'\"()-"]] = 5
 _KIND[[ord(c) for c in "#$%&*+/<=>@[]\\^_`{|}~"]] = 6
 _KIND[128:] = 1
-FEATURES = 13
+FEATURES, AGAIN = 13, 11
+#: Bytes of text whose features are computed at once: arrays take some fifty bytes a byte.
+PIECE = 1 << 20
 _POWER = np.cumprod(np.full(64, 0x9E3779B97F4A7C15, np.uint64))
 
 
+def _again(whole: np.ndarray, owner: np.ndarray) -> np.ndarray:
+    """Whether a line stands in its text before, told by the lines' hashes."""
+    order = np.lexsort((whole, owner))
+    w, o = whole[order], owner[order]
+    out = np.zeros(len(whole))
+    out[order[1:]] = (w[1:] == w[:-1]) & (o[1:] == o[:-1])
+    return out
+
+
 def line_features(texts: list[bytes]) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
     """(features, bytes, text) of every line of texts; every text has a line, if an empty one."""
-    data = np.frombuffer(b"\n".join(texts) + b"\n", np.uint8)
+    x, size, whole = _lines(b"\n".join(texts) + b"\n")
+    text_end = np.cumsum([len(t) + 1 for t in texts])
+    owner = np.searchsorted(text_end, np.cumsum(size + 1) - size - 1, side="right")
+    x[:, AGAIN] = _again(whole, owner)
+    return x, size, owner
+
+
+def pieces(data: bytes) -> Iterator[bytes]:
+    """A long text in pieces of PIECE bytes at most, cut at line ends; a longer line is several lines."""
+    a = 0
+    while len(data) - a > PIECE:
+        k = data.rfind(b"\n", a, a + PIECE)
+        yield data[a : k if k >= 0 else a + PIECE]
+        a = k + 1 if k >= 0 else a + PIECE
+    yield data[a:]
+
+
+def _lines(raw: bytes) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
+    """(features, but for AGAIN, bytes, hash) of the lines of bytes that end with a line end."""
+    data = np.frombuffer(raw, np.uint8)
     ends = np.flatnonzero(data == 10)
     begin = np.concatenate(([0], ends[:-1] + 1))
     size = ends - begin
-    text_end = np.cumsum([len(t) + 1 for t in texts])
-    owner = np.searchsorted(text_end, begin, side="right")
     kind = _KIND[data]
     kind[ends] = 4
 
@@ -76,18 +105,14 @@ def line_features(texts: list[bytes]) -> tuple[np.ndarray, np.ndarray, np.ndarra
     else:
         repeated = distinct = blank_words = np.zeros(len(ends), np.int64)
         whole = np.zeros(len(ends), np.uint64)
-    order = np.lexsort((whole, owner))
-    same = np.concatenate(([False], (whole[order][1:] == whole[order][:-1]) & (owner[order][1:] == owner[order][:-1])))
-    again = np.zeros(len(ends))
-    again[order] = same
     last = kind[np.maximum(ends - 1, 0)]
     room = np.maximum(size, 1)
     x = np.column_stack([
         np.log1p(size) / 5, np.minimum(size / room, 1), marks[0] / n, marks[1] / room, marks[2] / n, marks[3] / n,
         blank_words / n, repeated / n, 1 - distinct / n, np.minimum(room / n, 40) / 10,
-        (last == 5) & (size > 0), again, words <= 2,
+        (last == 5) & (size > 0), np.zeros(len(ends)), words <= 2,
     ]).astype(np.float64)
-    return x, size, owner
+    return x, size, whole
 
 
 def with_neighbours(x: np.ndarray, owner: np.ndarray) -> np.ndarray:
@@ -168,14 +193,35 @@ class LineField:
             out[rows[rows >= 0]] = bad[rows >= 0]
         return out
 
+    def bad_lines_of_long(self, data: bytes) -> tuple[np.ndarray, np.ndarray]:
+        """(P(bad), bytes) of a long text's lines, a piece at a time: of a line three numbers, its size and hash are kept."""
+        own, before, after = self.weights[:-1].reshape(3, FEATURES)
+        parts = []
+        for piece in pieces(data):
+            x, size, whole = _lines(piece + b"\n")
+            parts.append((x @ own, x @ before, x @ after, size, whole))
+        u, b, a, size, whole = map(np.concatenate, zip(*parts))
+        again = _again(whole, np.zeros(len(whole), np.int8))
+        u = u + self.weights[-1] + own[AGAIN] * again
+        u[1:] += (b + before[AGAIN] * again)[:-1]
+        u[:-1] += (a + after[AGAIN] * again)[1:]
+        return marginals(u, self.link, np.arange(len(u))[None])[0][0], size
+
     def summary(self, texts: list[str | None]) -> np.ndarray:
         """By text: the share of good lines and the log of bad bytes, both by length."""
-        x, size, owner = line_features([(t or "").encode() for t in texts])
-        bad = self.bad_lines(x, owner)
-        w = size + 1.0
-        mass = np.bincount(owner, weights=w * bad, minlength=len(texts))
-        total = np.bincount(owner, weights=w, minlength=len(texts))
-        return np.column_stack([1 - mass / total, np.log1p(mass) / 5])
+        raw = [(t or "").encode() for t in texts]
+        out = np.zeros((len(raw), 2))
+        long = [k for k, t in enumerate(raw) if len(t) > PIECE]
+        for k in long:
+            bad, size = self.bad_lines_of_long(raw[k])
+            out[k] = (w := size + 1.0) @ bad, w.sum()
+        few = np.setdiff1d(np.arange(len(raw)), long)
+        if len(few):
+            x, size, owner = line_features([raw[k] for k in few.tolist()])
+            w = size + 1.0
+            out[few, 0] = np.bincount(owner, weights=w * self.bad_lines(x, owner), minlength=len(few))
+            out[few, 1] = np.bincount(owner, weights=w, minlength=len(few))
+        return np.column_stack([1 - out[:, 0] / out[:, 1], np.log1p(out[:, 0]) / 5])
 
     def quality(self, texts: list[str | None]) -> np.ndarray:
         s = self.summary(texts)
@@ -227,8 +273,9 @@ def fit(docs: DataFrame, labels: DataFrame, doc: str, text: str, label: str, fol
 def score(docs: DataFrame, model: LineField, doc: str = "doc_id", text: str = "text") -> DataFrame:
     """(doc, score): the quality, 0 to 1, of every whole text.
 
-    A null or empty text is one empty line.  Repeated rows and null ids stay rows
-    of their own; an empty table gives an empty table.
+    A null or empty text is one empty line; a line of over PIECE bytes counts as
+    several.  Repeated rows and null ids stay rows of their own; an empty table gives
+    an empty table.
     """
     sent = docs.sparkSession.sparkContext.broadcast(model)  # under a hundred numbers
 
