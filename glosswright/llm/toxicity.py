@@ -31,6 +31,8 @@ from glosswright.llm._shared import slices
 from glosswright.llm.training import MAX_ROWS, labelled_sample, logistic
 
 LANDMARKS, NEGATIVES, ROUNDS = 128, 6_000, 4
+#: Landmarks whose tables the driver holds at once.
+SOME = 32
 #: Entries that a worker's memo of words may reach before it is emptied, and letters of the longest word it keeps.
 MEMO, KEPT = 400_000, 48
 _BLANK = re.compile(r"[\W_]+")
@@ -116,6 +118,20 @@ def _machine(z: np.ndarray, y: np.ndarray, weight: np.ndarray, ridge: float = 0.
     return w
 
 
+def _kernels(words: list[str], marks: list[str]) -> np.ndarray:
+    """The kernels of words with landmarks, some landmarks at a time: their tables take a megabyte each."""
+    parts = [sk.sums(words, sk.tables(marks[a : a + SOME])) for a in range(0, len(marks), SOME)]
+    return np.hstack(parts) / np.maximum(sk.norms(words), 1e-12)[:, None]
+
+
+def _folded(marks: list[str], share: np.ndarray) -> np.ndarray:
+    """One table for a weighted sum of landmarks."""
+    out = np.zeros(sk._TWO * (sk.CLASSES + 1), np.float32)
+    for a in range(0, len(marks), SOME):
+        out += sk.tables(marks[a : a + SOME]) @ share[a : a + SOME].astype(np.float32)
+    return out
+
+
 def _apart(bags: list[set[str]]) -> list[set[str]]:
     """Bags of words without likely copies of an earlier one, told by two of their least hashes."""
     seen, out = set(), []
@@ -159,10 +175,8 @@ def train(sample: pd.DataFrame) -> ToxicityModel:
         rest = sorted(negatives.difference(positives))
         marks = positives[: LANDMARKS // 2]
         marks += [rest[k] for k in rng.permutation(len(rest))[: LANDMARKS - len(marks)]]
-        base = sk.tables(marks)
         words = positives + rest
-        k_m = sk.sums(words, base) / np.maximum(sk.norms(words), 1e-12)[:, None]
-        k_mm = sk.sums(marks, base) / np.maximum(sk.norms(marks), 1e-12)[:, None]
+        k_m, k_mm = _kernels(words, marks), _kernels(marks, marks)
         value, vector = np.linalg.eigh((k_mm + k_mm.T) / 2)
         good = value > 1e-5 * value.max()
         white = vector[:, good] / np.sqrt(value[good])
@@ -170,7 +184,7 @@ def train(sample: pd.DataFrame) -> ToxicityModel:
         mass = np.r_[np.log1p([witness[w] for w in positives]), np.ones(len(rest))]
         mass[y > 0] *= 0.5 * len(rest) / mass[y > 0].sum()
         w = _machine(k_m @ white, y, mass)
-        model = ToxicityModel((base @ (white @ w[:-1]).astype(np.float32)).astype(np.float32), float(w[-1]), np.array([0.0, 1.0]))
+        model = ToxicityModel(_folded(marks, white @ w[:-1]), float(w[-1]), np.array([0.0, 1.0]))
         if turn + 1 < ROUNDS:
             of = dict(zip(background, model.words(background).tolist()))
             hard = sorted(background, key=lambda x: (-of[x], x))[: NEGATIVES // 2]
