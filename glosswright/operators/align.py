@@ -1,21 +1,31 @@
 """Passages found in full texts, exactly or with insertions and deletions; positions between text versions.
 
 The cost of a match is the number of characters inserted or deleted, a
-substitution counting as both.  Candidates come from shared word shingles, an
-equality join; only their windows are aligned, in numpy.
+substitution counting as both.  Candidates come from pairs of words that a passage
+and a text share, an equality join; such pairs name places of the text, and only
+windows around these are aligned, in numpy.
 """
 
 from __future__ import annotations
 
+from collections import Counter
+
 import numpy as np
 import pandas as pd
-from pyspark.sql import Column, DataFrame
+import pyarrow as pa
+from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
 from glosswright.functions import text as t
+from glosswright.operators import intervals
 
-#: Words of a shingle that a passage and a text must share to be aligned.
-SHINGLE = 3
+#: Words of a seed, and seeds of all passages up to which workers get them to drop what can't join.
+SEED, KNOWN = 2, 1 << 20
+#: Letters of the longest chunk that is aligned at once, and the gap over which chunks' places become one.
+CHUNK, CHUNK_GAP = 500, 100
+#: Letters of the grams by which hopeless windows are told.
+GRAM = 4
+_POWER = np.cumprod(np.full(64, 0x9E3779B97F4A7C15, np.uint64))
 
 
 def plain(x: str | Column) -> Column:
@@ -35,27 +45,78 @@ def shingles(text: str | Column, n: int) -> Column:
     return F.slice(runs, 1, F.greatest(F.size(w) - (n - 1), F.lit(0)))
 
 
+def shingle_keys(text: str | Column, n: int) -> Column:
+    """Hashes of the runs of n words of a plain text, without writing them out."""
+    w = F.split(text, " ")
+    shifted = F.arrays_zip(*(F.slice(w, k + 1, F.greatest(F.size(w), F.lit(1))).alias(f"w{k}") for k in range(n)))
+    keys = F.transform(shifted, lambda z: F.xxhash64(*(z[f"w{k}"] for k in range(n))))
+    return F.slice(keys, 1, F.greatest(F.size(w) - (n - 1), F.lit(0)))
+
+
 def containing(docs: DataFrame, passages: DataFrame, doc: str = "doc_id", item: str = "item_id", text: str = "text", words: int = 5) -> DataFrame:
     """(doc, item): texts that hold a passage word for word (J10, exact tier).
 
     A text that holds a passage holds its first ``words`` words (all of a shorter
-    one), so texts are compared with passages that they share them with only.
+    one), so texts are compared with passages that they share these with only.
+    Texts are read once for the words and looked up once for the comparison.
     """
-    p = passages.where(F.col(text).isNotNull()).select(item, plain(text).alias("p")).where("p <> ''")
-    p = p.withColumn("n", F.least(F.size(F.split("p", " ")), F.lit(words))).withColumn("key", F.substring_index("p", " ", words))
+    p = passages.where(F.col(text).isNotNull()).select(item, plain(text).alias("p")).where("p <> ''").withColumn("w", F.split("p", " "))
+    p = p.withColumn("n", F.least(F.size("w"), F.lit(words)))
+    # as many words as the passage has, up to ``words``: the key of a short one hashes fewer
+    key = F.coalesce(*(F.when(F.col("n") == n, F.xxhash64(*(F.col("w")[k] for k in range(n)))) for n in range(1, words + 1)))
+    p = p.withColumn("key", key)
     lengths = sorted(r["n"] for r in p.select("n").distinct().collect())  # at most ``words`` numbers
-    d = docs.select(doc, plain(text).alias("d"))
-    out = None
-    for n in lengths:
-        keyed = d.select(doc, F.explode(F.array_distinct(shingles("d", n))).alias("key"))
-        met = keyed.join(p.where(F.col("n") == n).select("key", item, "p"), "key").select(doc, item, "p")
-        out = met if out is None else out.unionByName(met)
-    if out is None:
-        return d.select(doc).join(p.select(item), F.lit(False))
-    found = out.join(d, doc).where(F.instr(F.concat(F.lit(" "), F.col("d"), F.lit(" ")), F.concat(F.lit(" "), F.col("p"), F.lit(" "))) > 0)
+    d = docs.where(F.col(text).isNotNull()).select(doc, plain(text).alias("d"))
+    keys = F.array_distinct(F.flatten(F.array(*(shingle_keys("d", n) for n in lengths or [words]))))
+    met = d.select(doc, F.explode(keys).alias("key")).join(p.select("key", item), "key").groupBy(doc).agg(F.collect_set(item).alias("items"))
+    pairs = d.join(met, doc).select(doc, "d", F.explode("items").alias(item)).join(p.select(item, "p"), item)
+    found = pairs.where(F.instr(F.concat(F.lit(" "), F.col("d"), F.lit(" ")), F.concat(F.lit(" "), F.col("p"), F.lit(" "))) > 0)
     return found.select(doc, item).distinct()
 
 
+def word_seeds(texts: list[str]) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
+    """(row, key, place) of every run of SEED words of plain texts, places in characters."""
+    data = np.frombuffer("".join([x + "\n" for x in texts]).encode(), np.uint8)
+    line = np.flatnonzero(data == 10)
+    gap = (data == 10) | (data == 32)
+    start = np.flatnonzero(~gap & np.concatenate(([True], gap[:-1]))[: len(data)])
+    if len(start) < SEED:
+        return (np.empty(0, np.int64),) * 3
+    nth = np.cumsum(np.isin(np.arange(len(data)), start, assume_unique=True)) - 1
+    at = np.arange(len(data)) - start[np.maximum(nth, 0)]
+    with np.errstate(over="ignore"):
+        h = np.add.reduceat(np.where(gap, np.uint64(0), (data.astype(np.uint64) + np.uint64(1)) * _POWER[at & 63]), start)
+        h ^= h >> np.uint64(29)
+        key = h[: len(h) - SEED + 1].copy()
+        for k in range(1, SEED):
+            key = key * np.uint64(0xD6E8FEB86659FD93) + h[k : len(h) - SEED + 1 + k]
+    row = np.searchsorted(line, start)
+    same = row[: len(key)] == row[SEED - 1 :]
+    char = np.cumsum((data & 0xC0) != 0x80) - 1
+    begin = np.concatenate(([0], char[line[:-1]] + 1))
+    row, start = row[: len(key)][same], start[: len(key)][same]
+    return row, key[same].view(np.int64), char[start] - begin[row]
+
+
+def seeds(rows: DataFrame, key: str, text: str, known: np.ndarray | None = None) -> DataFrame:
+    """(key, seed, place) of a table's plain texts, of those that are ``known`` only if they are given."""
+    sent = None if known is None else rows.sparkSession.sparkContext.broadcast(known)
+
+    def run(batches):
+        for b in batches:
+            for a in range(0, b.num_rows, 256):
+                part = b.slice(a, 256)
+                row, seed, place = word_seeds(part.column(1).to_pylist())
+                if sent is not None:
+                    at = np.minimum(np.searchsorted(sent.value, seed), max(0, len(sent.value) - 1))
+                    keep = sent.value[at] == seed if len(sent.value) else np.zeros(len(seed), bool)
+                    row, seed, place = row[keep], seed[keep], place[keep]
+                yield pa.RecordBatch.from_arrays([part.column(0).take(pa.array(row)), pa.array(seed), pa.array(place, pa.int32())], names=[key, "seed", "place"])
+
+    kind = rows.schema[key].dataType.simpleString()
+    return rows.select(key, text).mapInArrow(run, f"`{key}` {kind}, seed long, place int")
+
+
 def best_match(text: str, pattern: str) -> tuple[int, int, int]:
     """(start, end, cost) of the substring nearest to the pattern; of equals the one that ends first, then the longest."""
     x = np.frombuffer(text.encode("utf-32-le"), np.uint32)
@@ -79,31 +140,67 @@ def best_match(text: str, pattern: str) -> tuple[int, int, int]:
     return int(start[end]), end, int(cost[end])
 
 
-def fuzzy(docs: DataFrame, passages: DataFrame, doc: str = "doc_id", item: str = "item_id", text: str = "text",
-          ratio: float = 0.2, most: int = 200, shingle: int = SHINGLE) -> DataFrame:
-    """(doc, item, start, end, cost, tier): each passage's best place in the texts that share a shingle.
+def hopeless(text: str, pattern: str, bound: int) -> bool:
+    """Whether a window can't hold the pattern within ``bound`` edits, told by their grams.
 
-    Kept where the cost is at most ``ratio`` of the passage's length and ``most``;
-    ``tier`` is the least of 100, 120, 150 and 200 percent of half that bound that
-    suffices.  Positions are in the text with its white space made single.  A
-    passage of w words with fewer than w // shingle edits shares a shingle
-    with its match for certain; with more edits it may not.
+    An edit spoils GRAM of the pattern's grams at most; the others stand in the window.
+    """
+    need = len(pattern) - GRAM + 1 - GRAM * bound
+    if need <= 0:
+        return False
+    grams = lambda x: Counter(x[k : k + GRAM] for k in range(len(x) - GRAM + 1))
+    return (grams(text) & grams(pattern)).total() < need
+
+
+def fuzzy(docs: DataFrame, passages: DataFrame, doc: str = "doc_id", item: str = "item_id", text: str = "text", ratio: float = 0.2, most: int = 200) -> DataFrame:
+    """(doc, item, start, end, cost, tier): each passage's best place in the texts that hold it.
+
+    A passage of over CHUNK characters is searched in equal chunks, each of which must
+    be found; their places, merged over gaps under CHUNK_GAP, must be one, and their
+    costs add up (A20).  A chunk is found where its cost is at most ``ratio`` of its
+    length, and ``most``; ``tier`` is the least of 100, 120, 150 and 200 percent of
+    half the bound that suffices.  Positions are in the text with its white space made
+    single.  Windows to align are those around two adjacent words that text and chunk
+    share, wide enough for any match through them.  A match without two adjacent words
+    unharmed isn't found; at an edit in every tenth letter that is one in thousands.
     """
     p = passages.where(F.col(text).isNotNull()).select(item, plain(t.drop_brackets(text)).alias("p")).where("p <> ''")
+    n = F.ceil(F.length("p") / CHUNK).cast("int")
+    size = F.ceil(F.length("p") / n).cast("int")
+    parts = F.transform(F.sequence(F.lit(0), n - 1), lambda i: F.struct(i.alias("chunk"), F.substr("p", i * size + 1, size).alias("c")))
+    c = p.select(item, n.alias("n"), F.explode(F.filter(parts, lambda x: F.length(x["c"]) > 0)).alias("x")).select(item, "n", "x.*")
+    c = c.withColumn("n", F.count("*").over(Window.partitionBy(item)).cast("int")).withColumn("bound", F.least(F.lit(most), F.ceil(F.length("c") * ratio)).cast("int"))
+    c = c.withColumn("chunk_id", F.struct(item, "chunk")).withColumn("m", F.length("c"))
     d = docs.where(F.col(text).isNotNull()).select(doc, plain(text).alias("d"))
-    pk = p.select(item, F.explode(F.array_distinct(shingles("p", shingle))).alias("key"))
-    dk = d.select(doc, F.explode(F.array_distinct(shingles("d", shingle))).alias("key"))
-    pairs = dk.join(pk, "key").groupBy(doc, item).agg(F.count("*").alias("shared"))
+    own = seeds(c, "chunk_id", "c")
+    known = own.select("seed").distinct().limit(KNOWN + 1).toArrow().column(0).to_numpy()  # KNOWN numbers at most
+    dk = seeds(d, doc, "d", np.sort(known) if len(known) <= KNOWN else None)
+    hits = dk.withColumnRenamed("place", "at").join(own, "seed").select(doc, "chunk_id", (F.col("at") - F.col("place")).alias("shift")).distinct()
+    hits = hits.join(c.select("chunk_id", "m", "bound"), "chunk_id")
+    near = hits.select(doc, "chunk_id", (F.col("shift") - F.col("bound")).alias("start"), (F.col("shift") + F.col("m") + F.col("bound")).alias("end"))
+    windows = intervals.merge_intervals(near, [doc, "chunk_id"], gap=0).select(
+        doc, "chunk_id", F.greatest("start", F.lit(0)).alias("from"), F.col("end").alias("to")
+    )
+    # each text is looked up once, for all its windows
+    asked = windows.groupBy(doc).agg(F.collect_list(F.struct("chunk_id", "from", "to")).alias("asked"))
+    cut = d.join(asked, doc).select(doc, "d", F.explode("asked").alias("a")).select(
+        doc, "a.chunk_id", "a.from", F.substr("d", F.col("a.from") + 1, F.col("a.to") - F.col("a.from")).alias("window")
+    )
 
     @F.pandas_udf("struct<start:int,end:int,cost:int>")
-    def align(ds: pd.Series, ps: pd.Series) -> pd.DataFrame:
-        return pd.DataFrame([best_match(a, b) for a, b in zip(ds, ps)], columns=["start", "end", "cost"])
-
-    bound = F.least(F.lit(most), F.ceil(F.length("p") * ratio)).cast("int")
-    got = pairs.join(d, doc).join(p, item).withColumn("m", align("d", "p")).where(F.col("m.cost") <= bound)
-    part = F.col("m.cost") / (bound / 2)
+    def align(ws: pd.Series, ps: pd.Series, bounds: pd.Series) -> pd.DataFrame:
+        none = (None, None, None)
+        return pd.DataFrame([none if hopeless(a, b, k) else best_match(a, b) for a, b, k in zip(ws, ps, bounds)], columns=["start", "end", "cost"], dtype="Int32")
+
+    got = cut.join(c.select("chunk_id", "c", "bound", "n"), "chunk_id").withColumn("m", align("window", "c", "bound")).where(F.col("m.cost") <= F.col("bound"))
+    place = F.struct(F.col("m.cost").alias("cost"), (F.col("from") + F.col("m.start")).alias("start"), (F.col("from") + F.col("m.end")).alias("end"), "bound", "n")
+    best = got.groupBy(doc, F.col(f"chunk_id.{item}").alias(item), "chunk_id.chunk").agg(F.min(place).alias("b")).select(doc, item, "chunk", "b.*")
+    of = [doc, item]
+    whole = best.groupBy(*of).agg(F.sum("cost").cast("int").alias("cost"), F.sum("bound").alias("bound"), F.count("*").alias("found"), F.max("n").alias("n")).where("found = n")
+    runs = intervals.merge_intervals(best, of, gap=CHUNK_GAP).groupBy(*of).agg(F.count("*").alias("runs"), F.min("start").alias("start"), F.max("end").alias("end"))
+    part = F.col("cost") / (F.col("bound") / 2)
     tier = F.when(part <= 1.0, 100).when(part <= 1.2, 120).when(part <= 1.5, 150).otherwise(200)
-    return got.select(doc, item, "m.start", "m.end", "m.cost", tier.alias("tier"))
+    return whole.join(runs.where("runs = 1"), of).select(doc, item, "start", "end", "cost", tier.alias("tier"))
 
 
 def best_page(matches: DataFrame, keys: list[str], page: str = "page") -> DataFrame:
