@@ -168,10 +168,14 @@ def meta_content(html: ColumnOrName, name: str) -> Column:
 def publisher(html: ColumnOrName) -> Column:
     """Whose page this is, by its citation addresses."""
     at = F.coalesce(meta_content(html, "citation_pdf_url"), meta_content(html, "citation_abstract_html_url"), F.lit(""))
-    out = F.lit(None).cast("string")
-    for part, name in reversed(PUBLISHERS):
-        out = F.when(F.contains(at, F.lit(part)), name).otherwise(out)
-    return F.coalesce(out, F.lit(UNKNOWN_PUBLISHER))
+
+    def named(a: Column) -> Column:
+        out = F.lit(UNKNOWN_PUBLISHER)
+        for part, name in reversed(PUBLISHERS):
+            out = F.when(F.contains(a, F.lit(part)), name).otherwise(out)
+        return out
+
+    return F.transform(F.array(at), named)[0]  # so that the page is searched once, not for every publisher
 
 
 #: Font names that say bold or italic by none of the rules.
@@ -197,17 +201,24 @@ def qualified_lines(x: ColumnOrName, marker: str = "\u2028", tag: str = "hl") ->
     return F.array_join(F.transform(F.split(_c(x), "\n"), line), "\n")
 
 
+#: The ways in which pages write a line break, and lines that are table cells.
+_BREAK = "(?:<br>|</br>|<br/>|<br />)"
+CELL_LINES = ("\n[0-9.\u00b1+\\-%() ]*" + _BREAK, "(?U)\n\\w*" + _BREAK)
+
+
 def drop_cells(x: ColumnOrName, marker: str = "\u2028") -> Column:
     """Lines that are table cells become the marker."""
-    y = F.regexp_replace(_c(x), "\n[0-9.\u00b1+\\-%() ]*<br>", marker)
-    return F.regexp_replace(y, "(?U)\n\\w*<br/>", marker)
+    y = _c(x)
+    for cell in CELL_LINES:
+        y = F.regexp_replace(y, cell, marker)
+    return y
 
 
 def outward_highlights(x: ColumnOrName) -> Column:
-    """Drops empty highlights, moves them out of inline tags."""
+    """Drops empty highlights, moves the others out of any run of tags around them."""
     y = F.regexp_replace(_c(x), "<hl>\\s*</hl>", "")
-    y = F.regexp_replace(y, "(<(?:i|b|sub|sup)>)<hl>", "<hl>$1")
-    return F.regexp_replace(y, "</hl>(</(?:i|b|sub|sup)>)", "$1</hl>")
+    y = F.regexp_replace(y, "((?:<(?!/|hl>)[^<>]*>)+)<hl>", "<hl>$1")
+    return F.regexp_replace(y, "</hl>((?:</(?!hl>)[^<>]*>)+)", "$1</hl>")
 
 
 def escaped(x: ColumnOrName) -> Column:
@@ -223,6 +234,11 @@ def escaped(x: ColumnOrName) -> Column:
     return F.array_join(F.transform(F.filter(F.split(_c(x), ""), lambda c: c != ""), one), "")
 
 
+def glyph_rows(x: ColumnOrName) -> Column:
+    """A text's characters as an array, to be exploded with their places."""
+    return F.filter(F.split(_c(x), ""), lambda c: c != "")
+
+
 def nonblank_words(x: ColumnOrName) -> Column:
     """Words between runs of white space."""
     return F.filter(F.split(_c(x), "\\s+"), lambda w: w != "")

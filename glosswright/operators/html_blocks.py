@@ -13,12 +13,16 @@ from collections.abc import Iterator
 from dataclasses import dataclass, field
 from html.parser import HTMLParser
 
+import numpy as np
+import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
+from pyspark.sql import types as T
 from pyspark.sql.functions import udtf
 
 from glosswright.functions import text as t
 
+KINDS = ("paragraph", "caption", "cell")
 _VOID = {"area", "base", "br", "col", "embed", "hr", "img", "input", "link", "meta", "source", "track", "wbr"}
 
 
@@ -30,10 +34,12 @@ class Node:
     kids: list = field(default_factory=list)
 
     def walk(self) -> Iterator[Node]:
-        for k in list(self.kids):
-            if isinstance(k, Node):
-                yield k
-                yield from k.walk()
+        """The nodes below, in document order; the tree's depth doesn't matter."""
+        todo = [k for k in reversed(self.kids) if isinstance(k, Node)]
+        while todo:
+            at = todo.pop()
+            yield at
+            todo += [k for k in reversed(at.kids) if isinstance(k, Node)]
 
     @property
     def classes(self) -> list[str]:
@@ -54,11 +60,19 @@ class Node:
             self.parent = None
 
     def inner(self) -> str:
-        return "".join(k.outer() if isinstance(k, Node) else html_escape.escape(k, quote=False) for k in self.kids)
-
-    def outer(self) -> str:
-        head = "".join(f' {k}="{html_escape.escape(v)}"' for k, v in self.attrs.items())
-        return f"<{self.name}{head}/>" if self.name in _VOID else f"<{self.name}{head}>{self.inner()}</{self.name}>"
+        out, todo = [], list(reversed(self.kids))
+        while todo:
+            k = todo.pop()
+            if isinstance(k, str):
+                out.append(html_escape.escape(k, quote=False))
+            elif isinstance(k, _End):
+                out.append(f"</{k.name}>")
+            else:
+                head = "".join(f' {a}="{html_escape.escape(v)}"' for a, v in k.attrs.items())
+                out.append(f"<{k.name}{head}/>" if k.name in _VOID else f"<{k.name}{head}>")
+                if k.name not in _VOID:
+                    todo += [_End(k.name), *reversed(k.kids)]
+        return "".join(out)
 
     def above(self, test) -> bool:
         up = self.parent
@@ -69,6 +83,11 @@ class Node:
         return False
 
 
+@dataclass(frozen=True)
+class _End:
+    name: str
+
+
 class _Builder(HTMLParser):
     def __init__(self):
         super().__init__(convert_charrefs=True)
@@ -151,6 +170,7 @@ class Rules:
     late_paragraphs: tuple[str, ...] = ()
 
 
+# Names of elements, classes and ids on the publishers' pages (one class is misspelt there).
 _SECTIONS = ("abstract", "main", "results", "discussion", "methods")
 RULES = {
     "nature": Rules(
@@ -245,8 +265,7 @@ def blocks(text: str | None, publisher: str | None) -> list[tuple[str, int, str]
                 n.remove()
     for rule in rules.drop:
         for n in select(scope, rule):
-            if not (publisher == "wiley" and n.name == "span" and n.attrs):
-                n.remove()
+            n.remove()
     for rule in rules.unwrap:
         for n in select(scope, rule):
             n.unwrap()
@@ -271,7 +290,7 @@ def blocks(text: str | None, publisher: str | None) -> list[tuple[str, int, str]
         n.remove()
     texts["paragraph"] += [n.inner() for n in found(rules.late_paragraphs)]
     texts["cell"] = cells
-    for kind in ("paragraph", "caption", "cell"):
+    for kind in KINDS:
         out += [(kind, k, tidy(x)) for k, x in enumerate(texts[kind])]
     return out
 
@@ -283,16 +302,35 @@ def tidy(x: str) -> str:
 
 @udtf(returnType="kind string, pos int, block string")
 class html_blocks:
-    """Table function: the blocks of one page."""
+    """Table function for SQL: the blocks of one page."""
 
     def eval(self, page: str, publisher: str):
         yield from blocks(page, publisher)
 
 
 def page_blocks(pages: DataFrame, page: str = "page_id", html: str = "html") -> DataFrame:
-    """(page, kind, pos, block) of pages whose publisher is known."""
-    spark = pages.sparkSession
-    spark.udtf.register("html_blocks", html_blocks)
+    """(page, kind, pos, block) of pages whose publisher is known (F5), in Arrow batches."""
     known = pages.select(page, html, t.publisher(html).alias("publisher")).where(F.col("publisher") != t.UNKNOWN_PUBLISHER)
-    known.createOrReplaceTempView("_pages_with_publisher")
-    return spark.sql(f"SELECT p.`{page}`, b.kind, b.pos, b.block FROM _pages_with_publisher p, LATERAL html_blocks(p.`{html}`, p.publisher) b")
+
+    def run(batches):
+        for b in batches:
+            for a in range(0, b.num_rows, 64):
+                part = b.slice(a, 64)
+                found = [blocks(*x) for x in zip(part.column(1).to_pylist(), part.column(2).to_pylist())]
+                of = np.repeat(np.arange(len(found)), [len(x) for x in found])
+                flat = [x for f in found for x in f]
+                yield pa.RecordBatch.from_arrays(
+                    [part.column(0).take(pa.array(of)), *(pa.array([x[k] for x in flat], t) for k, t in enumerate((pa.string(), pa.int32(), pa.string())))],
+                    names=[page, "kind", "pos", "block"],
+                )
+
+    kinds = T.StructType([known.schema[page], T.StructField("kind", T.StringType()), T.StructField("pos", T.IntegerType()), T.StructField("block", T.StringType())])
+    return known.mapInArrow(run, kinds)
+
+
+def extractor_dump(blocks_: DataFrame, page: str = "page_id") -> DataFrame:
+    """(page, text): a page's blocks under a banner for each kind, to be read by people."""
+    rank = F.array_position(F.array(*map(F.lit, KINDS)), F.col("kind"))
+    parts = F.array_sort(F.collect_list(F.struct(rank.alias("r"), "pos", "kind", "block")))
+    line = F.transform(parts, lambda x: F.concat(F.when(x["pos"] == 0, F.concat(F.lit("== "), x["kind"], F.lit("\n"))).otherwise(""), x["block"]))
+    return blocks_.groupBy(page).agg(F.array_join(line, "\n").alias("text"))
