@@ -53,7 +53,10 @@ def scalars(docs: DataFrame, nested: tuple[str, ...] = ("authors", "identifiers"
     return docs.select(*(F.col(c).cast("string").alias(c) for c in keep)).dropna("all")
 
 
-def authors(docs: DataFrame, doc: str = "id") -> DataFrame:
+def authors(docs: DataFrame, doc: str = "id", strict: bool = False) -> DataFrame:
+    """(first_name, last_name, docid) (G2); a document without a list has no rows, or, if ``strict``, is an error."""
+    if strict:
+        docs = docs.withColumn("authors", F.coalesce("authors", F.raise_error(F.concat(F.lit("no authors in "), F.col(doc))).cast(docs.schema["authors"].dataType)))
     return docs.select(F.col(doc).alias("docid"), F.explode("authors").alias("a")).select("a.first_name", "a.last_name", "docid")
 
 
@@ -120,3 +123,64 @@ def get_or_compute(rows: DataFrame, cache: DataFrame, key: Column, compute) -> t
     missing = keyed.join(cache.select("key"), "key", "left_anti").dropDuplicates(["key"])
     fresh = compute(missing)
     return keyed.join(cache.unionByName(fresh), "key", "left"), fresh
+
+
+def first_url(files: str | Column = "files") -> Column:
+    """The download address of the first file, null if there is none."""
+    return F.try_element_at(F.col(files) if isinstance(files, str) else files, F.lit(1))["download_url"]
+
+
+def with_url(docs: DataFrame, url: str = "url") -> DataFrame:
+    """Documents that have an address."""
+    return docs.where(F.col(url).isNotNull())
+
+
+def group_annotations(docs: DataFrame, annots: DataFrame, groups: DataFrame, name: str) -> DataFrame:
+    """(doc_id, doc_title, year, source, url, annots): the annotated documents of a group.
+
+    ``docs`` hold group_id, document_id, title, year, source and files; ``annots``
+    hold document_id, id, type, profile_id, text and positions.  Notes of the kind
+    that marks nothing are dropped; a document without annotations has an empty list.
+    """
+    own = docs.join(first_group(groups, name).select("group_id"), "group_id").select("document_id", F.col("title").alias("doc_title"), "year", "source", first_url().alias("url"))
+    kept = annots.where(F.col("type") != "note").withColumn("text", F.when(F.col("type") == "sticky_note", F.col("text")))
+    one = F.struct("id", "type", "profile_id", "text", "positions")
+    lists = kept.groupBy("document_id").agg(F.array_sort(F.collect_list(one), lambda a, b: F.when(a["id"] < b["id"], -1).when(a["id"] > b["id"], 1).otherwise(0)).alias("annots"))
+    out = own.join(lists, "document_id", "left")
+    return out.select(F.col("document_id").alias("doc_id"), "doc_title", "year", "source", "url", "annots").withColumn(
+        "annots", F.coalesce("annots", F.array().cast(out.schema["annots"].dataType))
+    )
+
+
+def resolved(rows: DataFrame, addresses: DataFrame, doi: str = "doi") -> DataFrame:
+    """Rows with ``doi_url``, from a table (doi, url) of resolved identifiers, '' where it has none."""
+    known = addresses.groupBy("doi").agg(F.min("url").alias("doi_url"))
+    return rows.join(known.withColumnRenamed("doi", doi), doi, "left").withColumn("doi_url", F.coalesce("doi_url", F.lit("")))
+
+
+def download_plan(ids: DataFrame, documents: DataFrame, urls: DataFrame, addresses: DataFrame, done: DataFrame, prefer: str = "url") -> DataFrame:
+    """(document_id, full_url) of what is still to be fetched (C14: K16, P5, S21, P6, P7); fetching itself is left to others.
+
+    ``documents`` hold document_id and doi, ``urls`` document_id and url, ``done``
+    document_id; documents without any address are left out.
+    """
+    own = not_yet(ids.select("document_id").distinct(), done, ["document_id"])
+    first = urls.groupBy("document_id").agg(F.min("url").alias("url"))
+    known = resolved(lookup(documents, own, "doi").join(first, "document_id", "left"), addresses)
+    return known.select("document_id", t.full_text_url(t.preferred_url("url", "doi_url", prefer)).alias("full_url")).where("full_url is not null")
+
+
+def pdf_downloads(docs: DataFrame, doc: str = "doc_id") -> DataFrame:
+    """(doc, url, file) of annotated documents with an address (C15: S7, P3)."""
+    return with_url(docs).select(doc, "url", F.concat(F.col(doc).cast("string"), F.lit(".pdf")).alias("file"))
+
+
+def kind_counts(docs: DataFrame) -> DataFrame:
+    """(type, n_docs, n_annots): what a run would log about its annotations."""
+    a = docs.select("doc_id", F.explode("annots").alias("a")).select("doc_id", "a.type")
+    return a.groupBy("type").agg(F.countDistinct("doc_id").alias("n_docs"), F.count("*").alias("n_annots"))
+
+
+def first_titles(docs: DataFrame, n: int = 5, title: str = "title", order: str = "id") -> DataFrame:
+    """The first few titles, for a look at a group (O5): the limit is the feature."""
+    return docs.orderBy(order).select(title).limit(n)

@@ -6,6 +6,8 @@ import json
 from collections.abc import Iterator
 from pathlib import Path
 
+from pyspark.errors import AnalysisException
+from pyspark.ml.functions import array_to_vector, vector_to_array
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 from pyspark.sql.datasource import DataSource, DataSourceReader, InputPartition
@@ -14,22 +16,58 @@ from glosswright.functions import text as t
 from glosswright.sources import schemas
 
 
+def _scalar(x: str):
+    x = x.strip()
+    if x[:1] in ("'", '"') and x[-1:] == x[:1] and len(x) > 1:
+        return x[1:-1]
+    if x in ("true", "True", "false", "False"):
+        return x.lower() == "true"
+    return None if x in ("", "~", "null") else x
+
+
 def config(path: str) -> dict | None:
-    """A flat ``key: value`` file as a dict, None if it is missing."""
+    """A file of ``key: value`` lines as a dict, None if it is missing.
+
+    Deeper lines make dicts of their own, ``- value`` lines lists; this much of the
+    format is what configurations of this kind use.
+    """
     p = Path(path)
     if not p.is_file():
         return None
-    pairs = (line.split(":", 1) for line in p.read_text().splitlines() if ":" in line and not line.lstrip().startswith("#"))
-    return {k.strip(): v.strip().strip("'\"") for k, v in pairs}
+    root: dict = {}
+    levels: list[tuple[int, dict | list]] = [(-1, root)]
+    waiting: tuple[dict, str] | None = None
+    for raw in p.read_text().splitlines():
+        line = raw.split(" #")[0].rstrip()
+        if not line.strip() or line.lstrip().startswith("#"):
+            continue
+        depth, item = len(line) - len(line.lstrip()), line.strip()
+        while depth < levels[-1][0] or (depth == levels[-1][0] and isinstance(levels[-1][1], list) and not item.startswith("- ")):
+            levels.pop()
+        if waiting and (depth > levels[-1][0] or item.startswith("- ")):
+            holder: dict | list = [] if item.startswith("- ") else {}
+            waiting[0][waiting[1]] = holder
+            levels.append((depth, holder))
+        elif levels[-1][0] < 0:
+            levels.append((depth, root))
+        waiting = None
+        at = levels[-1][1]
+        if isinstance(at, list):
+            at.append(_scalar(item[2:]))
+        elif ":" in item:
+            key, value = item.split(":", 1)
+            at[key.strip()] = _scalar(value)
+            waiting = (at, key.strip()) if not value.strip() else None
+    return root
 
 
 def annotated_documents(spark: SparkSession, path: str) -> DataFrame:
     """The annotation export (S7); what can't be read is null."""
-    return spark.read.schema(schemas.ANNOTATED).option("multiLine", True).option("mode", "PERMISSIVE").json(path)
+    return spark.read.schema(schemas.ANNOTATED).options(multiLine=True, mode="PERMISSIVE", recursiveFileLookup=True).json(path)
 
 
 def bibliographic_documents(spark: SparkSession, path: str) -> DataFrame:
-    return spark.read.schema(schemas.BIBLIOGRAPHIC).option("multiLine", True).json(path)
+    return spark.read.schema(schemas.BIBLIOGRAPHIC).options(multiLine=True, recursiveFileLookup=True).json(path)
 
 
 def listing(spark: SparkSession, path: str, pattern: str = "*") -> DataFrame:
@@ -123,8 +161,15 @@ def paged_items(spark: SparkSession, path: str, schema: str, first: str = "start
     return spark.read.format("paged_json").option("path", path).option("first", first).load().select(F.from_json("item", schema).alias("i")).select("i.*")
 
 
-def write_annotated(docs: DataFrame, path: str) -> None:
-    docs.write.mode("overwrite").json(path)  # K1
+def write_annotated(docs: DataFrame, path: str, files: int | None = None, key: str = "doc_id") -> None:
+    """Annotated documents as JSON (K1): a document a line, or as ``files`` files that hold an array each."""
+    if files is None:
+        docs.write.mode("overwrite").json(path)
+        return
+    one = F.to_json(F.struct(*docs.columns))
+    part = F.pmod(F.xxhash64(key), F.lit(files))
+    arrays = docs.groupBy(part.alias("part")).agg(F.concat(F.lit("["), F.array_join(F.collect_list(one), ",\n"), F.lit("]")).alias("value"))
+    arrays.write.mode("overwrite").partitionBy("part").text(path)  # a row, so a file, for each
 
 
 def write_sentences(sents: DataFrame, path: str, doc: str = "doc_id") -> None:
@@ -157,8 +202,8 @@ def append_new(rows: DataFrame, path: str, keys: list[str]) -> int:
     spark = rows.sparkSession
     try:
         done = spark.read.parquet(path).select(*keys)
-    except Exception as e:  # no table yet
-        if "PATH_NOT_FOUND" not in str(e) and "UNABLE_TO_INFER" not in str(e):
+    except AnalysisException as e:
+        if e.getCondition() not in ("PATH_NOT_FOUND", "UNABLE_TO_INFER_SCHEMA"):  # no table yet, or an empty folder
             raise
         done = rows.select(*keys).limit(0)
     fresh = rows.join(done.distinct(), keys, "left_anti").dropDuplicates(keys)
@@ -178,3 +223,50 @@ def ensure_table(spark: SparkSession, name: str, schema: str) -> None:
 
 def cache_key(text: Column) -> Column:
     return F.sha2(text, 256)  # D21
+
+
+def layout_table(spark: SparkSession, path: str, schema: str) -> DataFrame:
+    """Words, glyphs, font runs or marks of pages that a PDF library has written as JSON lines."""
+    return spark.read.schema(schema).json(path)
+
+
+def documents_of_group(spark: SparkSession, path: str, group: str) -> DataFrame:
+    """A group's documents from recorded answers."""
+    return bibliographic_documents(spark, path).where(F.col("group_id") == group)
+
+
+def save_samples(rows: DataFrame, path: str) -> None:
+    """Prepared (label, features) rows, features as arrays."""
+    rows.select(F.col("label").cast("double").alias("label"), vector_to_array("features").alias("features")).write.mode("overwrite").parquet(path)
+
+
+def load_samples(spark: SparkSession, path: str) -> DataFrame:
+    """The same rows again, features as vectors."""
+    return spark.read.schema(schemas.PREPARED).parquet(path).withColumn("features", array_to_vector("features"))
+
+
+def write_group_pages(rows: DataFrame, path: str, doc: str = "doc_id", html: str = "html", file: str = "path") -> None:
+    """Each document's page, and a table beside them of the files that they come from (K8)."""
+    write_pages(rows, f"{path}/html", doc, html)
+    rows.select(doc, file).write.mode("overwrite").json(f"{path}/files")
+
+
+def write_texts(rows: DataFrame, path: str, doc: str = "doc_id", marked: str = "marked", full: str = "full") -> None:
+    """Each document's marked strings and its full text, in a folder each (K9)."""
+    write_pages(rows, f"{path}/hl", doc, marked)
+    write_pages(rows, f"{path}/full", doc, full)
+
+
+def history(rows: list[dict]) -> list[dict]:
+    """Metrics by epoch in long form, ready for a table: (epoch, metric, value)."""
+    return [{"epoch": k, "metric": name, "value": float(v)} for k, r in enumerate(rows) for name, v in sorted(r.items())]
+
+
+def write_history(spark: SparkSession, rows: list[dict], path: str) -> None:
+    spark.createDataFrame(history(rows), "epoch int, metric string, value double").coalesce(1).write.mode("overwrite").json(path)
+
+
+def write_search(spark: SparkSession, report: list[dict], path: str) -> None:
+    """A grid search's report, a JSON line for each combination."""
+    lines = [(json.dumps(r, default=lambda x: x.tolist() if hasattr(x, "tolist") else str(x), sort_keys=True),) for r in report]
+    spark.createDataFrame(lines, "value string").coalesce(1).write.mode("overwrite").text(path)

@@ -15,3 +15,6 @@ RECT = "struct<x0:double,y0:double,x1:double,y1:double>"
 WORDS = f"doc string, page int, block int, line int, word_no int, text string, rect {RECT}"
 FONT_RUNS = "doc string, page int, font string, size double, underlined boolean, colour string, start int, end int"
 EMBEDDINGS = "key string, embedding array<float>"
+GLYPHS = f"doc string, page int, glyph_no int, ch string, rect {RECT}"
+MARKS = f"doc string, page int, mark_no int, rect {RECT}"
+PREPARED = "label double, features array<double>"
