@@ -6,7 +6,8 @@ from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
 from glosswright.functions import text as t
-from glosswright.operators import align, intervals, sentences, spatial, store, tagging
+from glosswright.operators import align, intervals, layout, sentences, spatial, store, tagging
+from glosswright.sources import io
 
 BLOCK = ["doc", "page", "block"]
 
@@ -34,6 +35,36 @@ def labelled_sentences(words: DataFrame, marks: DataFrame) -> DataFrame:
     return sentences.label_sentences(_block_sentences(whole), whole, *BLOCK)
 
 
+def sentence_boxes(words: DataFrame) -> DataFrame:
+    """(doc, page, block, sent_no, sentence, boxes): sentences with the line and rectangle of each part of their words."""
+    plain = words if "label" in words.columns else words.withColumn("label", F.lit(0))
+    whole = _numbered(sentences.join_hyphens(plain, *BLOCK))
+    spans = sentences.sentence_words(_block_sentences(whole), *BLOCK)
+    of = spans.select(*BLOCK, "sent_no", "sentence", F.explode(F.sequence(F.col("first_word"), F.col("first_word") + F.col("n_words") - 1)).alias("word_no"))
+    held = F.array_sort(F.collect_list(F.struct("word_no", "boxes")))
+    got = of.join(whole.select(*BLOCK, "word_no", "boxes"), [*BLOCK, "word_no"]).groupBy(*BLOCK, "sent_no", "sentence").agg(held.alias("h"))
+    return got.select(*BLOCK, "sent_no", "sentence", F.flatten(F.transform("h", lambda x: x["boxes"])).alias("boxes"))
+
+
+def predicted_highlights(words: DataFrame, classify) -> DataFrame:
+    """(doc, page, sent_no, line, x0, y0, x1, y1, n_boxes): what to draw on unseen documents.
+
+    ``classify`` takes sentences (row_id, text and the rest) and returns those of
+    interest, as ``SentenceClassifier.highlights`` does.  All documents go through it
+    at once; one without such sentences gets no rectangles.
+    """
+    s = sentence_boxes(words).withColumn("row_id", F.xxhash64(*BLOCK, "sent_no")).withColumnRenamed("sentence", "text")
+    found = classify(s).withColumn("sent_no", F.struct("block", "sent_no"))
+    return layout.predicted_rects(found, ["doc"]).withColumn("sent_no", F.col("sent_no.sent_no"))
+
+
+def sentence_files(words: DataFrame, marks: DataFrame, path: str) -> DataFrame:
+    """Labelled sentences of a layout, written as a file for each document (C5); what was written."""
+    out = labelled_sentences(words, marks)
+    io.write_sentences(out, path, "doc")
+    return out
+
+
 def tagged_samples(words: DataFrame, marks: DataFrame, notes: DataFrame) -> tuple[DataFrame, DataFrame]:
     """(samples, unclear marks): words and tags of sentences with any tag.
 

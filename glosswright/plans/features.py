@@ -2,12 +2,14 @@
 
 from __future__ import annotations
 
-from dataclasses import dataclass
+import json
+from dataclasses import asdict, dataclass
 
+from pyspark.ml import PipelineModel
 from pyspark.ml.feature import CountVectorizerModel, ElementwiseProduct, StandardScaler, VectorAssembler
 from pyspark.ml.functions import array_to_vector
 from pyspark.ml.linalg import Vectors
-from pyspark.sql import DataFrame
+from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from glosswright.functions import text as t
@@ -55,26 +57,52 @@ class FeatureModel:
         out = VectorAssembler(inputCols=parts, outputCol="features").transform(out)
         return out.drop("_manual", "_tf", "_tfidf", "_emb", "manual", "tokens")
 
+    def save(self, spark: SparkSession, path: str) -> None:
+        """Writes lexicons, switches, terms and idf below ``path``."""
+        spark.createDataFrame([(json.dumps(asdict(self.spec)),)], "value string").coalesce(1).write.mode("overwrite").text(f"{path}/spec")
+        spark.createDataFrame(list(zip(self.vocabulary, self.idf)), "term string, idf double").write.mode("overwrite").parquet(f"{path}/vocabulary")
 
-def fit_features(rows: DataFrame, spec: FeatureSpec | None = None, text: str = "text", most: int = 1 << 18) -> FeatureModel:
-    """Learns vocabulary and idf from all rows (M2): terms of at least ``least`` uses, in the order of the term.
+    @classmethod
+    def load(cls, spark: SparkSession, path: str) -> FeatureModel:
+        """What ``save`` wrote."""
+        spec = {k: tuple(v) if isinstance(v, list) else v for k, v in json.loads(spark.read.text(f"{path}/spec").first()["value"]).items()}
+        vocab = sorted(spark.read.parquet(f"{path}/vocabulary").collect(), key=lambda r: r["term"])
+        return cls(FeatureSpec(**spec), [r["term"] for r in vocab], [r["idf"] for r in vocab])
 
-    The vocabulary is a model's size, so it has a bound: of more than ``most`` terms the
-    most frequent count.
+
+def fit_features(rows: DataFrame, spec: FeatureSpec | None = None, text: str = "text", most: int = 1 << 20) -> FeatureModel:
+    """Learns vocabulary and idf from all rows, repeated ones too (M2): terms of at least ``least`` uses, in the order of the term.
+
+    The vocabulary becomes a part of the model and goes to the driver, so it has a
+    bound: more than ``most`` terms are an error, for none is dropped in silence.
     """
     spec = spec or FeatureSpec()
-    lines = line_features(rows, spec, text).withColumn("_line", F.xxhash64(*rows.columns))
+    lines = line_features(rows, spec, text)
     n = rows.count()
-    tf = lines.select("_line", F.explode("tokens").alias("term")).groupBy("_line", "term").agg(F.count("*").alias("tf"))
-    vocab = terms.vocabulary(tf, n, spec.least).orderBy(F.desc("cf"), "term").limit(most).collect()
+    uses = F.transform("tokens", lambda x: F.struct(x.alias("term"), F.lit(1).alias("tf"), F.lit(0).alias("df")))
+    held = F.transform(F.array_distinct("tokens"), lambda x: F.struct(x.alias("term"), F.lit(0).alias("tf"), F.lit(1).alias("df")))
+    seen = lines.select(F.explode(F.concat(uses, held)).alias("u")).groupBy("u.term").agg(F.sum("u.tf").alias("cf"), F.sum("u.df").alias("df"))
+    vocab = seen.where(F.col("cf") >= spec.least).select("term", F.log(F.lit(n) / F.col("df")).alias("idf")).limit(most + 1).collect()
+    if len(vocab) > most:
+        raise ValueError(f"over {most} terms: raise ``most`` or the uses that a term needs")
     vocab.sort(key=lambda r: r["term"])
     return FeatureModel(spec, [r["term"] for r in vocab], [float(r["idf"]) for r in vocab])
 
 
-def fit_scaler(rows: DataFrame, vector: str = "features", out: str = "scaled"):
+class Scaler:
+    """A fitted scaler; called with rows it adds the scaled column."""
+
+    def __init__(self, model: PipelineModel):
+        self.model = model
+
+    def __call__(self, rows: DataFrame) -> DataFrame:
+        return self.model.transform(rows).drop("_scaled")
+
+
+def fit_scaler(rows: DataFrame, vector: str = "features", out: str = "scaled") -> Scaler:
     """A scaler to mean 0 and population deviation 1 (A16, M5); a constant place becomes 0."""
     n = rows.count()
     model = StandardScaler(withMean=True, withStd=True, inputCol=vector, outputCol="_scaled").fit(rows)
     factor = (n / (n - 1)) ** 0.5 if n > 1 else 1.0  # the library divides by the sample's deviation
     widen = ElementwiseProduct(scalingVec=Vectors.dense([factor] * len(model.mean)), inputCol="_scaled", outputCol=out)
-    return lambda df: widen.transform(model.transform(df)).drop("_scaled")
+    return Scaler(PipelineModel([model, widen]))

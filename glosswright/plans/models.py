@@ -15,11 +15,12 @@ from pyspark.ml.classification import (
 )
 from pyspark.ml.feature import HashingTF, NGram, RegexTokenizer, SQLTransformer, StringIndexer
 from pyspark.ml.functions import array_to_vector, vector_to_array
-from pyspark.sql import DataFrame
+from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from glosswright.operators import evaluation, sampling
-from glosswright.plans.features import FeatureSpec, fit_features, fit_scaler
+from glosswright.functions import text as t
+from glosswright.operators import evaluation, sampling, tagging
+from glosswright.plans.features import FeatureModel, FeatureSpec, Scaler, fit_features, fit_scaler
 
 
 def linear_svm(c: float, n: int, features: str = "features") -> Estimator:
@@ -59,6 +60,26 @@ class RadialFeatures:
         return rows.withColumn(out, array_to_vector(project(vector_to_array(vector))))
 
 
+class SigmoidFeatures:
+    """Values of the sigmoid kernel tanh(gamma x.z + shift) with some rows as landmarks (M8): a linear machine on them is
+    that kernel's in the span of the landmarks, of which there are at most ``size``."""
+
+    def __init__(self, rows: DataFrame, vector: str = "features", size: int = 256, gamma: float | None = None, shift: float = 0.0, key: str = "row_id"):
+        got = sampling.smallest_hashes(rows, size, key).select(vector_to_array(vector).alias("v")).collect()  # size vectors
+        self.z = np.array([r["v"] for r in got])
+        self.gamma, self.shift = gamma or 1 / max(1, self.z.shape[-1]), shift
+
+    def transform(self, rows: DataFrame, vector: str = "features", out: str = "sigmoid") -> DataFrame:
+        z, gamma, shift = self.z, self.gamma, self.shift
+
+        @F.pandas_udf("array<double>")
+        def project(x: pd.Series) -> pd.Series:
+            m = np.stack(x.to_list()) if len(x) else np.zeros((0, z.shape[1]))
+            return pd.Series(list(np.tanh(gamma * m @ z.T + shift)))
+
+        return rows.withColumn(out, array_to_vector(project(vector_to_array(vector))))
+
+
 def scores(predictions: DataFrame) -> dict[str, float]:
     """Precision, recall and F1 of label 1; 0 where undefined."""
     one = F.lit(1.0)
@@ -119,6 +140,21 @@ class SentenceClassifier:
     def predict(self, rows: DataFrame, text: str = "text") -> DataFrame:
         return self.model.transform(self.scale(self.features.transform(rows, text)))
 
+    def save(self, spark: SparkSession, path: str) -> None:
+        """Writes features, scaler and classifier below ``path``."""
+        self.features.save(spark, f"{path}/features")
+        PipelineModel([self.scale.model, self.model]).write().overwrite().save(f"{path}/model")
+
+    @classmethod
+    def load(cls, spark: SparkSession, path: str) -> SentenceClassifier:
+        """A fitted classifier as ``save`` wrote it."""
+        out = cls()
+        out.features = FeatureModel.load(spark, f"{path}/features")
+        out.spec = out.features.spec
+        scale, out.model = PipelineModel.load(f"{path}/model").stages
+        out.scale = Scaler(scale)
+        return out
+
     def highlights(self, rows: DataFrame, text: str = "text") -> DataFrame:
         """Rows predicted to be of interest."""
         return self.predict(rows, text).where(F.col("prediction") == 1.0)
@@ -141,7 +177,7 @@ def leave_one_out(rows: DataFrame, fold: str, make: Callable[[], SentenceClassif
         return pool.map(one, folds)
 
 
-def word_tagger(features: int = 1 << 14) -> Pipeline:
+def word_tagger(features: int = 1 << 14, iterations: int = 60) -> Pipeline:
     """Character n-grams of a word with its neighbours, hashed, and a softmax: stands in for a recurrent net."""
     def chars(n):
         return NGram(n=n, inputCol="_c", outputCol=f"_g{n}")
@@ -151,7 +187,7 @@ def word_tagger(features: int = 1 << 14) -> Pipeline:
         RegexTokenizer(inputCol="sample", outputCol="_c", pattern="(?s).", gaps=False, toLowercase=False), chars(2), chars(3),
         SQLTransformer(statement="SELECT *, concat(_c, _g2, _g3) AS _all FROM __THIS__"),
         HashingTF(inputCol="_all", outputCol="features", numFeatures=features),
-        LogisticRegression(featuresCol="features", labelCol="label", regParam=1e-4, maxIter=60),
+        LogisticRegression(featuresCol="features", labelCol="label", regParam=1e-4, maxIter=iterations),
     ])
 
 
@@ -160,3 +196,30 @@ def tag_words(model: PipelineModel, samples: DataFrame) -> DataFrame:
     names = F.array(*map(F.lit, [*model.stages[0].labels, ""]))
     return model.transform(samples).withColumn("predicted_tag", F.element_at(names, F.col("prediction").cast("int") + 1))
 
+
+
+def tag_sentence(model: PipelineModel, spark: SparkSession, sentence: str) -> DataFrame:
+    """(pos, word, predicted_tag) of a literal sentence (M21): words, their samples, the most likely tags."""
+    one = spark.createDataFrame([(0, sentence)], "id int, sentence string")
+    words = one.select("id", F.posexplode(t.nonblank_words("sentence")).alias("pos", "word"))
+    near = tagging.context(words, ["id"], "pos")
+    samples = near.withColumn("sample", F.substring(tagging.sample_text("before", "word", "after"), 1, tagging.SAMPLE_LENGTH)).withColumn("tag", F.lit(""))
+    return tag_words(model, samples).select("pos", "word", "predicted_tag")
+
+
+def fit_tagger(samples: DataFrame, key: str = "row_id", held: float = 0.2, iterations: tuple[int, ...] = (10, 30, 60), features: int = 1 << 14) -> tuple[PipelineModel, list[dict]]:
+    """(tagger, history): trained with a validation part and an early stop.
+
+    A part of the samples, by the hash of their key, is held back; training goes on
+    from one number of iterations to the next while that part's accuracy rises.
+    """
+    test = F.pmod(F.xxhash64(F.lit(17), F.col(key)), F.lit(1_000)) < int(held * 1_000)
+    best, done = None, []
+    for n in iterations:
+        model = word_tagger(features, n).fit(samples.where(~test))
+        right = lambda rows: tag_words(model, rows).agg(F.avg((F.col("tag") == F.col("predicted_tag")).cast("double"))).first()[0] or 0.0
+        done.append({"iterations": n, "accuracy": right(samples.where(~test)), "val_accuracy": right(samples.where(test))})
+        if best is not None and done[-1]["val_accuracy"] <= max(r["val_accuracy"] for r in done[:-1]):
+            break
+        best = model
+    return best, done
