@@ -5,7 +5,7 @@ from __future__ import annotations
 from pyspark.sql import functions as F
 
 from glosswright.functions import text as t
-from glosswright.operators import align, html_blocks, sentences, tagging, terms
+from glosswright.operators import align, sentences, tagging, terms
 from glosswright.plans.registry import query, table
 
 #: A short list of function words of the test tables' four languages.
@@ -220,14 +220,6 @@ def tag_removals(spark, sf_dir):
     )
 
 
-@query()
-def html_page_blocks(spark, sf_dir):
-    """Pages dressed as one publisher's, since the tables' pages name none."""
-    head = '<meta name="citation_pdf_url" content="https://msb.embopress.org/x.pdf">'
-    p = table(spark, sf_dir, "pages").select("page_id", F.concat(F.lit(head + '<div class="article"><div class="sec" id="sec-1">'), "html", F.lit("</div></div>")).alias("html"))
-    return html_blocks.page_blocks(p)
-
-
 @query("""WITH w AS (SELECT conv_id, turn, unnest(range(0, len(ws))) AS pos, unnest(ws) AS word FROM (SELECT conv_id, turn, list_filter(string_split(text, ' '), lambda w: w <> '') AS ws FROM conversations WHERE text IS NOT NULL)),
 c AS (SELECT conv_id, turn, pos::INTEGER AS pos, coalesce(lag(word) OVER q, '') AS before, word, coalesce(lead(word) OVER q, '') AS after FROM w WINDOW q AS (PARTITION BY conv_id, turn ORDER BY pos))
 SELECT conv_id, turn, pos, before, word, after FROM c""")
@@ -274,6 +266,6 @@ def line_qualifier(spark, sf_dir):
     return table(spark, sf_dir, "documents").select("doc_id", F.sha2(t.qualified_lines("text", "|"), 256).alias("lines_sha256"))
 
 
-@query(r"""SELECT doc_id, lower(trim(string_split(text, ':')[1])) AS label FROM documents WHERE length(text) < 400""")
+@query(r"""SELECT doc_id, lower(trim(string_split(text, ':')[1])) AS label FROM documents""")
 def label_normalize(spark, sf_dir):
-    return table(spark, sf_dir, "documents").where(F.length("text") < 400).select("doc_id", t.normal_label("text").alias("label"))
+    return table(spark, sf_dir, "documents").select("doc_id", t.normal_label("text").alias("label"))
