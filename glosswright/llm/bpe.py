@@ -27,7 +27,7 @@ from pyspark.sql import functions as F
 from glosswright.llm._shared import slices
 
 #: Entries that a worker's memo of words may reach before it is emptied, and letters of the longest word it keeps.
-MEMO, KEPT = 400_000, 48
+MEMO, KEPT = 200_000, 48
 _NONE = np.int32(2**31 - 1)
 _SPACE = r"\t-\r \x85\xa0  -     　"
 

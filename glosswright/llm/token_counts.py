@@ -24,7 +24,7 @@ from pyspark.sql import functions as F
 from glosswright.llm._shared import slices
 
 #: Entries that a worker's memo of pieces may reach before it is emptied, and letters of the longest piece it keeps.
-MEMO, KEPT = 600_000, 48
+MEMO, KEPT = 300_000, 48
 #: Letters and pieces that go to the library at once.
 BATCH, PIECES = 1 << 20, 20_000
 #: A space between characters that aren't white space, by Unicode.

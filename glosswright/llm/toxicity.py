@@ -34,7 +34,7 @@ LANDMARKS, NEGATIVES, ROUNDS = 128, 6_000, 4
 #: Landmarks whose tables the driver holds at once.
 SOME = 32
 #: Entries that a worker's memo of words may reach before it is emptied, and letters of the longest word it keeps.
-MEMO, KEPT = 400_000, 48
+MEMO, KEPT = 200_000, 48
 _BLANK = re.compile(r"[\W_]+")
 #: Letters that stand alone in a row.  No character is both a letter and a gap here, so there is one way to match.
 _SPELT = re.compile(r"(?<![^\W_])(?:[^\W_][\W_]{1,3}){2,}[^\W_](?![^\W_])")
