@@ -8,8 +8,6 @@ windows around these are aligned, in numpy.
 
 from __future__ import annotations
 
-from collections import Counter
-
 import numpy as np
 import pandas as pd
 import pyarrow as pa
@@ -23,8 +21,6 @@ from glosswright.operators import intervals
 SEED, KNOWN = 2, 1 << 20
 #: Letters of the longest chunk that is aligned at once, and the gap over which chunks' places become one.
 CHUNK, CHUNK_GAP = 500, 100
-#: Letters of the grams by which hopeless windows are told.
-GRAM = 4
 _POWER = np.cumprod(np.full(64, 0x9E3779B97F4A7C15, np.uint64))
 
 
@@ -140,16 +136,36 @@ def best_match(text: str, pattern: str) -> tuple[int, int, int]:
     return int(start[end]), end, int(cost[end])
 
 
-def hopeless(text: str, pattern: str, bound: int) -> bool:
-    """Whether a window can't hold the pattern within ``bound`` edits, told by their grams.
+def least_costs(texts: list[str], patterns: list[str], side_by_side: int = 64) -> np.ndarray:
+    """The cost of each pattern's best match in its text, for many pairs side by side.
 
-    An edit spoils GRAM of the pattern's grams at most; the others stand in the window.
+    A row of the table is computed for all pairs at once; pairs are ordered by length,
+    so that little of it is padding (a text's padding costs as much as it is long).
     """
-    need = len(pattern) - GRAM + 1 - GRAM * bound
-    if need <= 0:
-        return False
-    grams = lambda x: Counter(x[k : k + GRAM] for k in range(len(x) - GRAM + 1))
-    return (grams(text) & grams(pattern)).total() < need
+    out = np.zeros(len(texts), np.int64)
+    order = sorted(range(len(texts)), key=lambda k: (len(patterns[k]), len(texts[k])))
+    points = lambda x: np.frombuffer(x.encode("utf-32-le"), np.uint32).astype(np.int32)
+    for a in range(0, len(order), side_by_side):
+        part = order[a : a + side_by_side]
+        wide, high = max(len(texts[k]) for k in part), max(len(patterns[k]) for k in part)
+        x, p = np.full((len(part), wide), -1, np.int32), np.full((high, len(part), 1), -2, np.int32)
+        for n, k in enumerate(part):
+            x[n, : len(texts[k])] = points(texts[k])
+            p[: len(patterns[k]), n, 0] = points(patterns[k])
+        size = np.array([len(patterns[k]) for k in part])
+        step = np.arange(wide + 1, dtype=np.int32)
+        cost = np.zeros((len(part), wide + 1), np.int32)
+        best = np.zeros(len(part), np.int64)
+        for i in range(high):
+            up = cost + 1
+            np.minimum(up[:, 1:], cost[:, :-1], out=up[:, 1:], where=x == p[i])
+            up -= step
+            cost = np.minimum.accumulate(up, axis=1) + step
+            done = size == i + 1
+            if done.any():
+                best[done] = cost[done].min(axis=1)
+        out[part] = best
+    return out
 
 
 def fuzzy(docs: DataFrame, passages: DataFrame, doc: str = "doc_id", item: str = "item_id", text: str = "text", ratio: float = 0.2, most: int = 200) -> DataFrame:
@@ -189,8 +205,9 @@ def fuzzy(docs: DataFrame, passages: DataFrame, doc: str = "doc_id", item: str =
 
     @F.pandas_udf("struct<start:int,end:int,cost:int>")
     def align(ws: pd.Series, ps: pd.Series, bounds: pd.Series) -> pd.DataFrame:
+        near = least_costs(ws.tolist(), ps.tolist()) <= bounds.to_numpy()
         none = (None, None, None)
-        return pd.DataFrame([none if hopeless(a, b, k) else best_match(a, b) for a, b, k in zip(ws, ps, bounds)], columns=["start", "end", "cost"], dtype="Int32")
+        return pd.DataFrame([best_match(a, b) if n else none for a, b, n in zip(ws, ps, near)], columns=["start", "end", "cost"], dtype="Int32")
 
     got = cut.join(c.select("chunk_id", "c", "bound", "n"), "chunk_id").withColumn("m", align("window", "c", "bound")).where(F.col("m.cost") <= F.col("bound"))
     place = F.struct(F.col("m.cost").alias("cost"), (F.col("from") + F.col("m.start")).alias("start"), (F.col("from") + F.col("m.end")).alias("end"), "bound", "n")
