@@ -36,8 +36,8 @@ from glosswright.llm._shared import cut
 SAMPLE, TREES, LEAF = 16_384, (2, 4, 8), 128
 #: Queries of the sample that measure the share, and the part of their neighbours that it must find.
 TRIALS, AIM = 96, 0.97
-#: Queries of a block that meets a leaf.
-QUERIES = 256
+#: Entries of each tree that a query meets at least, and queries of a block that meets a leaf.
+LEAST, QUERIES = 1_024, 256
 
 
 @dataclass
@@ -194,7 +194,7 @@ def _search(points: DataFrame, asked: DataFrame, width: int, total: int, k: int,
     for r in counts:
         sizes[r["tree"]][r["leaf"]] = r["n"]
     known = spark.sparkContext.broadcast(sizes)
-    budget = max(share * total, count * (LEAF + k))
+    budget = max(share * total, count * LEAST)
 
     def ask(batches):
         for pdf in batches:
@@ -228,7 +228,10 @@ def _search(points: DataFrame, asked: DataFrame, width: int, total: int, k: int,
                     edge = np.partition(rough, most - 1, axis=1)[:, most - 1]
                     room = 8e-16 * (width + 8) * (qq + cc.max())
                     i, j = np.nonzero((rough <= (edge + room)[:, None]) & np.isfinite(rough))
-                d = np.sqrt(((q[i] - c[j]) ** 2).sum(axis=1))
+                square = np.zeros(len(i))
+                for place in range(width):  # in the order of the places, whatever the library's sums do
+                    square += (q[i, place] - c[j, place]) ** 2
+                d = np.sqrt(square)
                 order = np.lexsort((ci[j], d, i))
                 i, j, d = i[order], j[order], d[order]
                 near = np.arange(len(i)) - np.searchsorted(i, i) < k
