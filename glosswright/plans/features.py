@@ -99,10 +99,14 @@ class Scaler:
         return self.model.transform(rows).drop("_scaled")
 
 
-def fit_scaler(rows: DataFrame, vector: str = "features", out: str = "scaled") -> Scaler:
-    """A scaler to mean 0 and population deviation 1 (A16, M5); a constant place becomes 0."""
+def fit_scaler(rows: DataFrame, vector: str = "features", out: str = "scaled", center: bool = True) -> Scaler:
+    """A scaler to mean 0 and population deviation 1 (A16, M5); a constant place becomes 0.
+
+    Without ``center`` the mean stays: sparse vectors stay sparse, and a linear model
+    with an intercept learns the same.
+    """
     n = rows.count()
-    model = StandardScaler(withMean=True, withStd=True, inputCol=vector, outputCol="_scaled").fit(rows)
+    model = StandardScaler(withMean=center, withStd=True, inputCol=vector, outputCol="_scaled").fit(rows)
     factor = (n / (n - 1)) ** 0.5 if n > 1 else 1.0  # the library divides by the sample's deviation
     widen = ElementwiseProduct(scalingVec=Vectors.dense([factor] * len(model.mean)), inputCol="_scaled", outputCol=out)
     return Scaler(PipelineModel([model, widen]))

@@ -123,13 +123,14 @@ class SentenceClassifier:
     """Features, scaling, down-sampled negatives and a classifier; ``predict`` scores new rows."""
 
     def __init__(self, make: Callable[[int, int], Estimator] | None = None, spec: FeatureSpec | None = None, ratio: int = 3, key: str = "row_id"):
+        self.center = make is not None  # the default is linear and has an intercept
         self.make = make or (lambda n, width: logistic(1.0, n, "l2", "scaled"))
         self.spec, self.ratio, self.key = spec or FeatureSpec(), ratio, key
 
     def fit(self, rows: DataFrame, text: str = "text") -> SentenceClassifier:
         self.features = fit_features(rows, self.spec, text)
         x = self.features.transform(rows, text).withColumn("label", F.col("label").cast("double")).cache()
-        self.scale = fit_scaler(x)
+        self.scale = fit_scaler(x, center=self.center)
         part = self.scale(sampling.balanced(x, self.key, ratio=self.ratio)).cache()
         n, width = part.count(), len(part.first()["scaled"]) if not part.isEmpty() else 0
         self.model = self.make(n, width).fit(part)
