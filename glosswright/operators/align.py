@@ -203,6 +203,9 @@ def fuzzy(docs: DataFrame, passages: DataFrame, doc: str = "doc_id", item: str =
         doc, "a.chunk_id", "a.from", F.substr("d", F.col("a.from") + 1, F.col("a.to") - F.col("a.from")).alias("window")
     )
 
+    # few bytes, much work: dealt out whatever their size
+    cut = cut.repartition(int(docs.sparkSession.conf.get("spark.sql.shuffle.partitions")))
+
     @F.pandas_udf("struct<start:int,end:int,cost:int>")
     def align(ws: pd.Series, ps: pd.Series, bounds: pd.Series) -> pd.DataFrame:
         near = least_costs(ws.tolist(), ps.tolist()) <= bounds.to_numpy()
