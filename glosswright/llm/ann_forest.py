@@ -35,9 +35,9 @@ from glosswright.llm._shared import cut
 #: Bounds of the index: vectors that trees are fitted on, numbers of trees tried, points aimed at in a leaf.
 SAMPLE, TREES, LEAF = 16_384, (2, 4, 8), 128
 #: Queries of the sample that measure the share, and the part of their neighbours that it must find.
-TRIALS, AIM = 96, 0.97
+TRIALS, AIM = 96, 0.95
 #: Entries of each tree that a query meets at least, and queries of a block that meets a leaf.
-LEAST, QUERIES = 1_024, 256
+LEAST, QUERIES = 512, 256
 
 
 @dataclass
