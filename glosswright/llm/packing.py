@@ -46,8 +46,8 @@ def _narrow(raw: bytes) -> bytes:
     return x.astype("<u2").tobytes() if int(x.max()) < 1 << 16 else raw
 
 
-def pack(docs: DataFrame, path: str, width: int = 2048, end_id: int = 1, doc: str = "doc_id", text: str = "text") -> DataFrame:
-    """One row per piece: doc, start, length, ids, doc_tokens, sequence_id, offset.
+def pack(docs: DataFrame, path: str, width: int = 2048, end_id: int = 1, doc: str = "doc_id", text: str = "text", ids: bool = True) -> DataFrame:
+    """One row per piece: doc, start, length, ids, ids_crc32, doc_tokens, sequence_id, offset; without ``ids`` that column stays away.
 
     Every token lies in exactly one piece; all sequences but the last are full,
     so no padding is needed but there.  A null or empty text is its ``end_id``
@@ -60,15 +60,17 @@ def pack(docs: DataFrame, path: str, width: int = 2048, end_id: int = 1, doc: st
     for p in sorted(totals):
         base[p] = at
         at += totals[p]
+    begins = docs.sparkSession.sparkContext.broadcast(base)
+    fields = [(doc, "long"), ("start", "long"), ("length", "long"), ("ids", "binary"), ("ids_crc32", "long"), ("doc_tokens", "long"), ("sequence_id", "long"), ("offset", "long")]
+    keep = [k for k, (name, _) in enumerate(fields) if ids or name != "ids"]
 
     def run(batches):
         for batch in batches:
             for b in (batch.slice(a, 512) for a in range(0, batch.num_rows, 512)):
-                part, begin, name, n, ids = (b.column(k).to_pylist() for k in range(5))
                 out: list[tuple] = []
-                for p, g, d, m, raw in zip(part, begin, name, n, ids):
+                for p, g, d, m, raw in zip(*(b.column(k).to_pylist() for k in range(5))):
                     x = np.frombuffer(raw, "<u2" if len(raw) == 2 * m else "<u4")
-                    g += base[p]
+                    g += begins.value[p]
                     a = 0
                     while a < m:
                         k = min(m - a, width - (g + a) % width)
@@ -76,12 +78,8 @@ def pack(docs: DataFrame, path: str, width: int = 2048, end_id: int = 1, doc: st
                         out.append((d, a, k, piece.tobytes(), crc32(piece), m, (g + a) // width, (g + a) % width))
                         a += k
                 cols = list(zip(*out))
-                kinds = [pa.int64(), pa.int64(), pa.int64(), pa.binary(), pa.int64(), pa.int64(), pa.int64(), pa.int64()]
                 yield pa.RecordBatch.from_arrays(
-                    [pa.array(c, t) for c, t in zip(cols, kinds)],
-                    names=[doc, "start", "length", "ids", "ids_crc32", "doc_tokens", "sequence_id", "offset"],
+                    [pa.array(cols[k], pa.binary() if fields[k][1] == "binary" else pa.int64()) for k in keep], names=[fields[k][0] for k in keep]
                 )
 
-    return stream.mapInArrow(
-        run, f"`{doc}` long, start long, length long, ids binary, ids_crc32 long, doc_tokens long, sequence_id long, offset long"
-    )
+    return stream.mapInArrow(run, ", ".join(f"`{fields[k][0]}` {fields[k][1]}" for k in keep))

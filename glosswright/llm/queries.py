@@ -69,7 +69,7 @@ def op7_quality(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 
 def op8_packing(spark: SparkSession, sf_dir: str) -> DataFrame:
-    return packing.pack(table(spark, sf_dir, "documents"), tokenizer(WORD_BPE), width=2048, end_id=1).drop("ids")
+    return packing.pack(table(spark, sf_dir, "documents"), tokenizer(WORD_BPE), width=2048, end_id=1, ids=False)
 
 
 def op9_embedding_dedup(spark: SparkSession, sf_dir: str) -> DataFrame:
