@@ -49,6 +49,7 @@ def release(spark: SparkSession) -> None:
     lineages have been cut these are gigabytes, so the driver is asked to do it now.
     """
     gc.collect()
+    pa.default_memory_pool().release_unused()  # what toPandas and toArrow left with the driver
     spark.sparkContext._jvm.System.gc()
 
 
