@@ -2,6 +2,7 @@
 
 from __future__ import annotations
 
+import ctypes
 import gc
 from collections.abc import Iterable, Iterator
 
@@ -50,6 +51,8 @@ def release(spark: SparkSession) -> None:
     """
     gc.collect()
     pa.default_memory_pool().release_unused()  # what toPandas and toArrow left with the driver
+    if hasattr(libc := ctypes.CDLL(None), "malloc_trim"):
+        libc.malloc_trim(0)  # and what fitting a model on a sample did
     spark.sparkContext._jvm.System.gc()
 
 
