@@ -45,6 +45,8 @@ def drop_near_duplicates(spark: SparkSession, docs: DataFrame, sf_dir: str) -> D
     """Keeps the document with the smallest id of each group of near-duplicates.
 
     Texts are near-duplicates from a similarity of 0.8 of their five-word shingles on.
+    SimHash fingerprints and their Golay keys give the candidates, which are compared
+    exactly; pairs that no fingerprint brings together are found by their shingles.
     Every row has its own decision, also if it repeats an id or has none; a null id
     counts as the largest, and of equal ids the text with the least hash stays.
     """

@@ -14,6 +14,9 @@ fingerprints are linked without pairs, and as exactly: fingerprints at most 2
 bits apart have a word within one bit of both, so linking each to the least
 fingerprint that is within one bit of the same word links what must be linked
 and nothing else.
+
+``candidates`` reaches 5 bits: then, of the three segments, two differ in no more than
+2 bits each, so fingerprints that close share a Golay key in both.
 """
 
 from __future__ import annotations
@@ -31,6 +34,8 @@ from glosswright.llm._shared import connected_components, cut, slices
 
 SEGMENTS = ((0, 22), (22, 21), (43, 21))
 CROWD = 32
+#: Bits up to which two fingerprints share a key in two segments.
+REACH = 5
 _BITS = ((np.arange(256)[:, None] >> np.arange(8)) & 1).astype(np.int64)
 
 
@@ -141,6 +146,72 @@ def links(prints: DataFrame, apart: int = 2) -> DataFrame:
     return pairs.union(stars).distinct()
 
 
+def wide_bucket_keys(fp: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
+    """(row, bucket) pairs of unsigned fingerprints: Golay keys shared in two of the segments."""
+    fp = fp.astype(np.uint64)
+    keys = []
+    for s, n in SEGMENTS:
+        row, key = golay_keys((fp >> np.uint64(s)).astype(np.int64) & ((1 << n) - 1))
+        wide = np.full((len(fp), 6), -1, np.int64)  # six keys at most
+        wide[row, np.arange(len(row)) - np.searchsorted(row, row)] = key
+        keys.append(wide)
+    rows, buckets = [], []
+    for k in range(3):
+        a, b = keys[k][:, :, None], keys[(k + 1) % 3][:, None, :]
+        both = np.where((a >= 0) & (b >= 0), k << 24 | a << 12 | b, -1).reshape(len(fp), -1)
+        row, at = np.nonzero(both >= 0)
+        rows.append(row)
+        buckets.append(both[row, at])
+    return np.concatenate(rows), np.concatenate(buckets)
+
+
+def candidates(prints: DataFrame, apart: int = REACH) -> DataFrame:
+    """(a, b): distinct fingerprints ``fp`` up to ``apart`` bits from each other, a linear number.
+
+    In every bucket a fingerprint is compared with the ``CROWD`` before it, and keeps,
+    of those near enough in all its buckets, the nearest and the least.  So whatever
+    has another within ``apart`` bits in a bucket of up to ``CROWD`` is in a pair, but not
+    all such pairs are there: who needs all must look for the others by other means.
+    """
+    if not 0 <= apart <= REACH:
+        raise ValueError(f"the keys reach {REACH} bits")
+
+    def keyed(batches):
+        for b in batches:
+            for s in (b.slice(a, 4_000) for a in range(0, b.num_rows, 4_000)):
+                fp = s.column(0).to_numpy(zero_copy_only=False)
+                row, bucket = wide_bucket_keys(fp.view(np.uint64))
+                yield pa.RecordBatch.from_arrays([pa.array(fp[row]), pa.array(bucket.astype(np.int32))], names=["fp", "bucket"])
+
+    def met(batches):
+        fp, bucket = np.empty(0, np.int64), np.empty(0, np.int32)
+        for batch in batches:
+            old = len(fp)
+            fp = np.concatenate([fp, batch.column(0).to_numpy()])
+            bucket = np.concatenate([bucket, batch.column(1).to_numpy()])
+            bits, near, least = np.full(len(fp), 65, np.uint8), np.zeros(len(fp), np.int64), np.zeros(len(fp), np.int64)
+            for k in range(1, min(CROWD, len(fp) - 1) + 1):
+                at = np.flatnonzero(bucket[k:] == bucket[:-k]) + k
+                if not len(at):
+                    break
+                at = at[at >= old]
+                d = np.bitwise_count((fp[at] ^ fp[at - k]).view(np.uint64))
+                at, d = at[d <= apart], d[d <= apart]
+                least[at] = fp[at - k]  # rows come in order, so the last is the least
+                at, d = at[d < bits[at]], d[d < bits[at]]
+                bits[at], near[at] = d, fp[at - k]
+            hit = np.flatnonzero(bits <= apart)
+            yield pa.RecordBatch.from_arrays(
+                [pa.array(x) for x in (fp[hit], near[hit], bits[hit].astype(np.int32), least[hit])], names=["a", "near", "bits", "least"]
+            )
+            fp, bucket = fp[-CROWD:], bucket[-CROWD:]
+
+    keys = prints.select("fp").distinct().mapInArrow(keyed, "fp long, bucket int")
+    found = keys.repartition("bucket").sortWithinPartitions("bucket", "fp").mapInArrow(met, "a long, near long, bits int, least long")
+    best = found.groupBy("a").agg(F.min(F.struct("bits", "near")).alias("best"), F.min("least").alias("least"))
+    return best.select("a", F.explode(F.array_distinct(F.array("best.near", "least"))).alias("b"))
+
+
 def near_duplicates(docs: DataFrame, words: int = 3, apart: int = 2, doc: str = "doc_id", text: str = "text") -> DataFrame:
     """(doc, fp, component): component is the smallest id reachable over links.
 

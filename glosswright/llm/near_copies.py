@@ -1,10 +1,12 @@
 """Near copies of texts: an exact similarity join on sets of word shingles.
 
 Two texts link if their sets of shingles have a Jaccard similarity of 4/5 or more.
-No distance of SimHash fingerprints bounds that similarity, so candidates don't
-come from fingerprints but from prefix filtering, which loses none: in any one
-order of all shingles, two sets of n and m shingles that similar share a shingle
-among the first n - ceil(4n/5) + 1 and m - ceil(4m/5) + 1.  The order puts
+Candidates come from SimHash fingerprints first, up to 5 bits apart and found by their
+Golay keys (``golay_simhash.candidates``); they are compared exactly, and those that
+link to one form a part.  But no distance of fingerprints bounds that similarity, so
+what they leave in different parts goes through prefix filtering, which loses none:
+in any one order of all shingles, two sets of n and m shingles that similar share a
+shingle among the first n - ceil(4n/5) + 1 and m - ceil(4m/5) + 1.  The order puts
 shingles that are common in a sample last, which costs or saves time only.  As
 similar sets are of similar size, sets meet by shingle and class of size.
 
@@ -13,8 +15,8 @@ bits are toggled by a set's shingles, the bits in which two bitmaps differ are a
 most the shingles in which the sets differ.
 
 A large group of near copies is not paired out.  First the sets that share a
-shingle are compared with one of them only, whose shingles are the most shared: of
-copies with edits of their own that is the original.  Then, of the sets that share a
+shingle, unless they are one part already, are compared with one of them only, whose
+shingles are the most shared: of copies with edits of their own that is the original.  Then, of the sets that share a
 shingle, just those that this left in different components are paired, and compared
 exactly as well.  To be compared, the texts of a pair's second member travel to the
 first, which is read once for many of them.
@@ -30,6 +32,7 @@ import pyarrow as pa
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
+from glosswright.llm import golay_simhash
 from glosswright.llm._shared import connected_components, cut, slices
 from glosswright.llm.byte_windows import mix
 
@@ -169,14 +172,16 @@ def _common(rows: DataFrame, words: int) -> tuple[np.ndarray, np.ndarray]:
 
 
 def _sets(words: int, common):
-    """(row, two halves of the set's hash, size, bitmap, prefix) of every text."""
+    """(row, two halves of the set's hash, size, fingerprint, bitmap, prefix) of every text."""
     import xxhash
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         known, often = common.value
         for b in slices(batches):
+            texts = b.column(1).to_pylist()
+            fp = np.array([golay_simhash.fingerprint(t) for t in texts], np.uint64).view(np.int64)
             name, size, bits, wide, prefix = [], [], [], [], []
-            for h in shingle_sets(b.column(1).to_pylist(), words):
+            for h in shingle_sets(texts, words):
                 name.append(xxhash.xxh3_128_digest(h.tobytes()))
                 size.append(len(h))
                 bits.append(np.packbits(np.bincount((h & np.uint64(_WIDE - 1)).astype(np.int64), minlength=_WIDE) & 1))
@@ -191,10 +196,10 @@ def _sets(words: int, common):
             bits = np.stack(bits).view(np.int64)
             yield pa.RecordBatch.from_arrays(
                 [
-                    b.column(0), *(pa.array(np.ascontiguousarray(x)) for x in (*name.T, np.array(size, np.int64), *bits.T)),
+                    b.column(0), *(pa.array(np.ascontiguousarray(x)) for x in (*name.T, np.array(size, np.int64), fp, *bits.T)),
                     pa.array(wide, pa.binary()), pa.array(prefix, pa.list_(pa.int64())),
                 ],
-                names=["row", "h1", "h2", "n", *_BITS, "wide", "prefix"],
+                names=["row", "h1", "h2", "n", "fp", *_BITS, "wide", "prefix"],
             )
 
     return run
@@ -252,24 +257,12 @@ def groups(docs: DataFrame, key: str, text: str = "text", words: int = 5) -> Dat
     """
     rows = docs.select(F.col(key).alias("row"), F.col(text).cast("string").alias("text"))
     common = docs.sparkSession.sparkContext.broadcast(_common(rows, words))
-    kinds = ", ".join(f"{c} long" for c in ("row", "h1", "h2", "n", *_BITS))
+    kinds = ", ".join(f"{c} long" for c in ("row", "h1", "h2", "n", "fp", *_BITS))
     sets = cut(rows.mapInArrow(_sets(words, common), f"{kinds}, wide binary, prefix array<long>"))
     # equal sets are one node
     same = cut(sets.groupBy("h1", "h2").agg(F.min("row").alias("node")), slim=True)
     nodes = sets.join(same.select(F.col("node").alias("row")), "row", "left_semi")
     info = nodes.select(F.col("row").alias("node"), "n", *_BITS, "wide")
-    # a set is at home in its class of size and a guest in the next
-    kind = F.floor(F.log("n") / float(np.log(CLASS))).cast("int")
-    by_token, by_class = Window.partitionBy("token"), Window.partitionBy("token", "kind")
-    classes = F.explode(F.array(F.struct(F.col("kind"), F.lit(True).alias("home")), F.struct((F.col("kind") + 1).alias("kind"), F.lit(False).alias("home")))).alias("k")
-    shared = cut(
-        nodes.select(F.col("row").alias("node"), kind.alias("kind"), F.explode("prefix").alias("token")).repartition("token")
-        .withColumn("lo", F.min("node").over(by_token)).withColumn("hi", F.max("node").over(by_token)).where("lo < hi")
-        .select("token", "node", classes).select("token", "node", "k.kind", "k.home")
-        .withColumn("met", F.count("*").over(by_class)).withColumn("homes", F.max("home").over(by_class)).where("met > 1 and homes").drop("homes")
-    )
-    weight = shared.groupBy("node").agg(F.sum("met").alias("weight"))
-    shared = cut(shared.drop("met").join(weight, "node"))
 
     def side(df: DataFrame, name: str) -> DataFrame:
         return df.select(*(F.col(c).alias(name if c == "node" else f"{name}_{c}") for c in df.columns))
@@ -289,12 +282,37 @@ def groups(docs: DataFrame, key: str, text: str = "text", words: int = 5) -> Dat
     def ordered(pairs: DataFrame) -> DataFrame:
         return pairs.select(F.least("a", "b").alias("a"), F.greatest("a", "b").alias("b")).distinct()
 
-    best = F.max(F.struct("weight", (-F.col("node")).alias("minus"), "home")).over(by_class)
-    stars = shared.withColumn("best", best).where((F.col("best.minus") != -F.col("node")) & (F.col("best.home") | F.col("home")))
-    tried = cut(ordered(stars.select(F.col("node").alias("a"), (-F.col("best.minus")).alias("b"))), slim=True)
-    links = _verified(plausible(tried), rows, words)
+    # by fingerprints: of sets with the same one each meets the least, which stands for it among near ones
+    prints = nodes.select(F.col("row").alias("node"), "fp")
+    least = cut(prints.groupBy("fp").agg(F.min("node").alias("least")), slim=True)
+    near = golay_simhash.candidates(least).join(least.select(F.col("fp").alias("a"), F.col("least").alias("x")), "a")
+    near = near.join(least.select(F.col("fp").alias("b"), F.col("least").alias("y")), "b").select(F.col("x").alias("a"), F.col("y").alias("b"))
+    alike = prints.join(least, "fp").where("node != least").select(F.col("node").alias("a"), F.col("least").alias("b"))
+    tried = plausible(ordered(near.union(alike)))
+    links = _verified(tried, rows, words)
+    # sets whose least neighbour is one are connected: parts of components, without rounds
+    parts = links.union(links.select("b", "a")).groupBy("a").agg(F.min("b").alias("m")).select(F.col("a").alias("node"), F.least("a", "m").alias("component"))
+    # a set is at home in its class of size and a guest in the next
+    kind = F.floor(F.log("n") / float(np.log(CLASS))).cast("int")
+    by_token, by_class = Window.partitionBy("token"), Window.partitionBy("token", "kind")
+    classes = F.explode(F.array(F.struct(F.col("kind"), F.lit(True).alias("home")), F.struct((F.col("kind") + 1).alias("kind"), F.lit(False).alias("home")))).alias("k")
+    part = F.coalesce("component", "node").alias("part")
+    shared = cut(
+        nodes.select(F.col("row").alias("node"), kind.alias("kind"), "prefix").join(parts, "node", "left")
+        .select("node", "kind", part, F.explode("prefix").alias("token")).repartition("token")
+        .withColumn("lo", F.min("part").over(by_token)).withColumn("hi", F.max("part").over(by_token)).where("lo < hi")
+        .select("token", "node", "part", classes).select("token", "node", "part", "k.kind", "k.home")
+        .withColumn("met", F.count("*").over(by_class)).withColumn("homes", F.max("home").over(by_class)).where("met > 1 and homes").drop("homes")
+    )
+    weight = shared.groupBy("node").agg(F.sum("met").alias("weight"))
+    shared = cut(shared.drop("met").join(weight, "node"))
+    best = F.max(F.struct("weight", (-F.col("node")).alias("minus"), "home", "part")).over(by_class)
+    stars = shared.withColumn("best", best).where((F.col("best.part") != F.col("part")) & (F.col("best.home") | F.col("home")))
+    stars = cut(ordered(stars.select(F.col("node").alias("a"), (-F.col("best.minus")).alias("b"))), slim=True)
+    links = links.union(_verified(plausible(stars.join(tried, ["a", "b"], "left_anti")), rows, words))
+    tried = tried.union(stars)
     parts = connected_components(links, "a", "b")
-    members = cut(shared.join(parts, "node", "left").select("token", "kind", "node", "home", F.coalesce("component", "node").alias("part")))
+    members = cut(shared.drop("part").join(parts, "node", "left").select("token", "kind", "node", "home", part))
     del shared, stars
     # of two sets in different components, one at least isn't in the main component of those that meet
     main = members.groupBy("token", "kind").agg(F.mode("part", deterministic=True).alias("main"), F.min("part").alias("low"), F.max("part").alias("high"))
