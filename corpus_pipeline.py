@@ -8,11 +8,11 @@ from __future__ import annotations
 
 import uuid
 
-from pyspark.sql import DataFrame, SparkSession
+from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from glosswright.llm import language_id, near_copies, packing, queries, suffix_dedup, toxicity
-from glosswright.llm._shared import cut, shared_folder
+from glosswright.llm._shared import cut, release, shared_folder
 
 COLUMNS = ["doc_id", "text", "lang", "source", "n_chars"]
 #: Documents whose language is less sure than this are rejected, like those without letters.
@@ -50,11 +50,29 @@ def drop_near_duplicates(spark: SparkSession, docs: DataFrame, sf_dir: str) -> D
     Every row has its own decision, also if it repeats an id or has none; a null id
     counts as the largest, and of equal ids the text with the least hash stays.
     """
+    kept = _least_of_groups(docs)
+    release(spark)
+    # by content and not by number, so that no numbered copy of the texts is held while the next stage runs
+    chosen = docs.select(*COLUMNS, *_content()).join(kept, ["_none", "_id", "_hash"], "left_semi")
+    first = chosen.groupBy("_none", "_id", "_hash").agg(F.min(F.struct("text", "lang", "source", "n_chars", "doc_id")).alias("row"))
+    return first.select(*(F.col(f"row.{c}").alias(c) for c in COLUMNS))
+
+
+def _content() -> list[Column]:
+    """What tells documents apart by id and text; rows equal in both are in one group."""
+    return [
+        F.col("doc_id").isNull().alias("_none"), F.coalesce("doc_id", F.lit(0)).alias("_id"),
+        F.coalesce(F.md5("text"), F.lit("none")).alias("_hash"),
+    ]
+
+
+def _least_of_groups(docs: DataFrame) -> DataFrame:
+    """(_none, _id, _hash): the least document of each group of near-duplicates."""
     rows = cut(docs.select(*COLUMNS, F.monotonically_increasing_id().alias("_row")))  # cut, so that numbers stay
     order = F.struct(F.col("doc_id").isNull().alias("none"), "doc_id", F.xxhash64("text").alias("hash"), "_row")
-    groups = rows.select("_row", order.alias("order")).join(near_copies.groups(rows, "_row"), "_row")
-    kept = groups.groupBy("group").agg(F.min("order").alias("first")).select("first._row")
-    return rows.join(kept, "_row", "left_semi").select(*COLUMNS)
+    whole = rows.select("_row", F.struct(order.alias("order"), *_content()).alias("least"))
+    groups = whole.join(near_copies.groups(rows, "_row"), "_row")
+    return cut(groups.groupBy("group").agg(F.min("least").alias("least")).select("least._none", "least._id", "least._hash"), slim=True)
 
 
 def cut_repeats(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:

@@ -62,3 +62,18 @@ def test_stage_gets_candidates_from_simhash(spark, monkeypatch):
     assert got == list(range(0, len(rows), 4))
     assert len(found) == 1 and found[0] >= 15
     assert verified[0] >= 15 > 3 * sum(verified[1:])  # little is left to the prefixes
+
+
+def test_stage_holds_no_copy_of_the_texts(spark, tmp_path):
+    """What a stage returns lives on while the next one runs, with the tables cut for it."""
+    pytest.importorskip("public_tokenizers")
+    import corpus_pipeline
+
+    one, two = ("some words of the text with number %d in a row of words" % k for k in (1, 2))
+    rows = [(3, one, "de"), (3, one, "en"), (None, one, "en"), (None, two, "en"), (None, two, "de"), (None, None, "en"), (0, "", "en"), (4, " ", None)]
+    df = spark.createDataFrame(rows, "doc_id long, text string, lang string")
+    df.select("*", F.lit("s").alias("source"), F.length("text").cast("long").alias("n_chars")).write.parquet(str(tmp_path / "docs"))
+    out = corpus_pipeline.drop_near_duplicates(spark, spark.read.parquet(str(tmp_path / "docs")), "")
+    assert sorted((str(r["doc_id"]), r["text"], r["lang"]) for r in out.collect()) == [("0", "", "en"), ("3", one, "de"), ("None", two, "de")]
+    held = [x for x in out._jdf.queryExecution().analyzed().toString().splitlines() if "RDD" in x]
+    assert held and not [x for x in held if "text#" in x]
