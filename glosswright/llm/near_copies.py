@@ -18,8 +18,11 @@ A large group of near copies is not paired out.  First the sets that share a
 shingle, unless they are one part already, are compared with one of them only, whose
 shingles are the most shared: of copies with edits of their own that is the original.  Then, of the sets that share a
 shingle, just those that this left in different components are paired, and compared
-exactly as well.  To be compared, the texts of a pair's second member travel to the
-first, which is read once for many of them.
+exactly as well.  Two sets that share many shingles of their prefixes would meet at each;
+so sets with many shingles that lead to other components look for each other apart, by
+prefixes in the order of how many of them have a shingle (``_rarest``), which is exact in the same way.
+To be compared, the texts of a pair's second member travel to the first, which is read
+once for many of them.
 """
 
 from __future__ import annotations
@@ -33,13 +36,17 @@ from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
 from glosswright.llm import golay_simhash
-from glosswright.llm._shared import connected_components, cut, slices
+from glosswright.llm._shared import connected_components, cut, local_components, slices
 from glosswright.llm.byte_windows import mix
 
 #: Texts sampled for common shingles, and the most shingles that are kept as common.
 SAMPLE, COMMON = 16_384, 65_536
 #: Bits of the filter that keeps texts at home which no pair names, and pairs that one task compares with a text.
 NAMED, TASK = 1 << 24, 1_024
+#: Shingles in classes of size that lead a set to other components, from which on its order is by their exact number.
+MANY = 64
+#: Links whose components one task finds.
+LINKS = 1 << 20
 #: Bytes of text that are hashed at once, in arrays of some thirty times their size.
 PIECE = 1 << 19
 #: Sizes of a class are within this factor; a hair over 5/4, so that similar sets are at most one class apart.
@@ -205,26 +212,31 @@ def _sets(words: int, common):
     return run
 
 
-def _named(pairs: DataFrame) -> np.ndarray:
-    """A filter of NAMED bits, set for the rows that pairs name: bounded, whatever they are."""
+def _named(rows: DataFrame) -> np.ndarray:
+    """A filter of NAMED bits, set for the numbers ``row``: bounded, whatever they are."""
     at = F.pmod(F.xxhash64("row"), F.lit(NAMED)).alias("at")
-    rows = pairs.select(F.explode(F.array("a", "b")).alias("row")).select(at)
-    got = rows.selectExpr("at div 64 AS w", "shiftleft(1L, cast(at % 64 AS int)) AS bit").groupBy("w").agg(F.bit_or("bit").alias("bits")).toArrow()
+    got = rows.select(at).selectExpr("at div 64 AS w", "shiftleft(1L, cast(at % 64 AS int)) AS bit").groupBy("w").agg(F.bit_or("bit").alias("bits")).toArrow()
     out = np.zeros(NAMED // 64, np.int64)
     out[got.column("w").to_numpy()] = got.column("bits").to_numpy()
     return out.view(np.uint64)
 
 
-def _verified(pairs: DataFrame, rows: DataFrame, words: int) -> DataFrame:
-    """Those of the distinct pairs (a, b) whose texts are similar."""
-    sent = rows.sparkSession.sparkContext.broadcast(_named(pairs))
+def _let_through(sent):
+    """(row, text) of those (row, text, at) that a filter of ``_named`` has."""
 
-    def named(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for b in batches:
             at = b.column(2).to_numpy()
             keep = sent.value[at // 64] >> (at % 64).astype(np.uint64) & np.uint64(1)
             yield b.select([0, 1]).filter(pa.array(keep.astype(bool)))
 
+    return run
+
+
+def _verified(pairs: DataFrame, rows: DataFrame, words: int) -> DataFrame:
+    """Those of the distinct pairs (a, b) whose texts are similar."""
+    sent = rows.sparkSession.sparkContext.broadcast(_named(pairs.select(F.explode(F.array("a", "b")).alias("row"))))
+
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         at, own = None, np.empty(0, np.uint64)
         for b in slices(batches, 3):
@@ -236,7 +248,7 @@ def _verified(pairs: DataFrame, rows: DataFrame, words: int) -> DataFrame:
                 keep.append(other is not None and at == a and similar(own, s))
             yield pa.RecordBatch.from_arrays([b.column(0), b.column(2)], names=["a", "b"]).filter(pa.array(keep))
 
-    texts = rows.select("row", "text", F.pmod(F.xxhash64("row"), F.lit(NAMED)).alias("at")).mapInArrow(named, "row long, text string")
+    texts = rows.select("row", "text", F.pmod(F.xxhash64("row"), F.lit(NAMED)).alias("at")).mapInArrow(_let_through(sent), "row long, text string")
     turns = pairs.groupBy("a").agg(F.ceil(F.count("*") / TASK).cast("int").alias("turns"))
     turn = F.pmod(F.xxhash64("b"), F.col("turns")).cast("int").alias("turn")
     asked = pairs.join(turns, "a").select("a", turn, "b").join(texts.select(F.col("row").alias("b"), "text"), "b").select("a", "turn", "b", "text")
@@ -247,6 +259,47 @@ def _verified(pairs: DataFrame, rows: DataFrame, words: int) -> DataFrame:
     return cut(met.select("a", "turn", "b", "text").mapInArrow(run, "a long, b long"))
 
 
+def _rarest(dense: DataFrame, rows: DataFrame, words: int) -> DataFrame:
+    """(token, node, part): the prefixes of the sets of ``dense`` (node, part), as far as a shingle is in several parts.
+
+    The order puts shingles that are in one part only first, then those that fewer of
+    these sets have; both are counted over all their shingles, so similar sets in
+    different parts share one that is left here.
+    """
+    sent = rows.sparkSession.sparkContext.broadcast(_named(dense.select(F.col("node").alias("row"))))
+    named = _let_through(sent)
+
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for b in slices(named(batches)):
+            sets = [h.view(np.int64) for h in shingle_sets(b.column(1).to_pylist(), words)]
+            yield pa.RecordBatch.from_arrays([b.column(0), pa.array(sets, pa.list_(pa.int64()))], names=["node", "tokens"])
+
+    every = rows.select("row", "text", F.pmod(F.xxhash64("row"), F.lit(NAMED)).alias("at")).mapInArrow(run, "node long, tokens array<long>")
+    every = every.join(dense, "node").select("node", "part", F.size("tokens").alias("n"), F.explode("tokens").alias("token"))
+    by_token, by_node = Window.partitionBy("token"), Window.partitionBy("node")
+    often = (
+        every.withColumn("low", F.min("part").over(by_token)).withColumn("high", F.max("part").over(by_token))
+        .withColumn("often", F.count("*").over(by_token)).where("low < high")
+    )
+    ranked = often.withColumn("rank", F.row_number().over(by_node.orderBy("often", "token"))).withColumn("several", F.count("*").over(by_node))
+    return cut(ranked.where("rank <= several - (4 * n + 4) div 5 + 1").select("token", "node", "part"), slim=True)
+
+
+def _components(links: DataFrame) -> DataFrame:
+    """(node, component) of the links (a, b): in one task where they are few, else by rounds."""
+    if links.count() > LINKS:
+        return connected_components(links, "a", "b")
+
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        ends = [b.column(k).to_numpy() for b in batches for k in (0, 1)]
+        a, b = (np.concatenate([np.empty(0, np.int64), *ends[k::2]]) for k in (0, 1))
+        node, at = np.unique(np.concatenate([a, b]), return_inverse=True)
+        least = node[local_components(len(node), at[: len(a)], at[len(a) :])]
+        yield pa.RecordBatch.from_arrays([pa.array(node), pa.array(least)], names=["node", "component"])
+
+    return cut(links.select("a", "b").coalesce(1).mapInArrow(run, "node long, component long"), slim=True)
+
+
 def groups(docs: DataFrame, key: str, text: str = "text", words: int = 5) -> DataFrame:
     """(key, group): the smallest key that is reachable over links, for every row.
 
@@ -311,18 +364,31 @@ def groups(docs: DataFrame, key: str, text: str = "text", words: int = 5) -> Dat
     stars = cut(ordered(stars.select(F.col("node").alias("a"), (-F.col("best.minus")).alias("b"))), slim=True)
     links = links.union(_verified(plausible(stars.join(tried, ["a", "b"], "left_anti")), rows, words))
     tried = tried.union(stars)
-    parts = connected_components(links, "a", "b")
+    parts = _components(links)
     members = cut(shared.drop("part").join(parts, "node", "left").select("token", "kind", "node", "home", part))
     del shared, stars
-    # of two sets in different components, one at least isn't in the main component of those that meet
-    main = members.groupBy("token", "kind").agg(F.mode("part", deterministic=True).alias("main"), F.min("part").alias("low"), F.max("part").alias("high"))
-    open_ = members.join(main.where("low < high").select("token", "kind", "main"), ["token", "kind"]).join(info.drop("wide"), "node")
-    few = side(open_.where("part != main").drop("main"), "a")
-    every = side(open_.drop("main"), "b")
-    meet = (F.col("a_token") == F.col("b_token")) & (F.col("a_kind") == F.col("b_kind")) & (F.col("a_part") != F.col("b_part")) & (F.col("a_home") | F.col("b_home"))
-    rest = plausible(ordered(few.join(every, meet & may).select("a", "b")).join(tried, ["a", "b"], "left_anti"))
-    del members, open_, few, every
+
+    def parted(met: DataFrame, *by: str) -> DataFrame:
+        """Those that meet in different components; of two such sets, one at least isn't in the main component of those that meet."""
+        main = met.groupBy(*by).agg(F.mode("part", deterministic=True).alias("main"), F.min("part").alias("low"), F.max("part").alias("high"))
+        return cut(met.join(main.where("low < high").select(*by, "main"), [*by]), slim=True)
+
+    def across(met: DataFrame, where: Column, *by: str) -> DataFrame:
+        met = met.join(info.drop("wide"), "node")
+        few, every = side(met.where("part != main").drop("main"), "a"), side(met.drop("main"), "b")
+        meet = (F.col("a_part") != F.col("b_part")) & where & may
+        return few.join(every, [F.col(f"a_{c}") == F.col(f"b_{c}") for c in by] + [meet]).select("a", "b")
+
+    open_ = parted(members, "token", "kind")
+    del members
+    dense = cut(open_.groupBy("node").agg(F.first("part").alias("part"), F.count("*").alias("n")).where(F.col("n") > MANY).select("node", "part"), slim=True)
+    open_ = open_.join(dense.select("node", F.lit(True).alias("dense")), "node", "left").withColumn("dense", F.coalesce("dense", F.lit(False)))
+    rest = across(open_, (F.col("a_home") | F.col("b_home")) & ~(F.col("a_dense") & F.col("b_dense")), "token", "kind")
+    if not dense.isEmpty():
+        rest = rest.union(across(parted(_rarest(dense, rows, words), "token"), F.lit(True), "token"))
+    rest = plausible(ordered(rest).join(tried, ["a", "b"], "left_anti"))
+    del open_, dense
     if not rest.isEmpty():
-        parts = connected_components(links.union(_verified(rest, rows, words)), "a", "b")
+        parts = _components(links.union(_verified(rest, rows, words)))
     tied = same.join(parts, "node", "left").select("h1", "h2", F.coalesce("component", "node").alias("group"))
     return sets.join(tied, ["h1", "h2"]).select(F.col("row").alias(key), "group")

@@ -17,6 +17,7 @@ from __future__ import annotations
 import re
 import zlib
 from collections import Counter
+from collections.abc import Iterable
 from dataclasses import dataclass, field
 
 import numpy as np
@@ -132,7 +133,13 @@ def _folded(marks: list[str], share: np.ndarray) -> np.ndarray:
     return out
 
 
-def _apart(bags: list[set[str]]) -> list[set[str]]:
+def _bags(texts: Iterable[str]) -> list[tuple[str, ...]]:
+    """The words of each text in order, every word held once over all texts."""
+    own: dict[str, str] = {}
+    return [tuple(own.setdefault(w, w) for w in sorted({w for t in set(tokens(x)) for w in pieces(t)})) for x in texts]
+
+
+def _apart(bags: list[tuple[str, ...]]) -> list[tuple[str, ...]]:
     """Bags of words without likely copies of an earlier one, told by two of their least hashes."""
     seen, out = set(), []
     for b in bags:
@@ -145,14 +152,14 @@ def _apart(bags: list[set[str]]) -> list[set[str]]:
 
 def train(sample: pd.DataFrame) -> ToxicityModel:
     """Learns from (label, text) rows; without rows of both labels every text gets their share."""
-    bags = [{w for t in set(tokens(x)) for w in pieces(t)} for x in sample["text"]]
+    bags = _bags(sample["text"])
     toxic = [b for b, y in zip(bags, sample["label"]) if y and b]
     clean = [b for b, y in zip(bags, sample["label"]) if not y and b]
     if not toxic or not clean:
         share = float(np.mean(sample["label"])) if len(sample) else 0.0
         odds = np.log(np.clip(share, 1e-6, 1 - 1e-6) / np.clip(1 - share, 1e-6, 1))
         return ToxicityModel(np.zeros(sk._TWO * (sk.CLASSES + 1), np.float32), 0.0, np.array([odds, 0.0]))
-    t, c = (Counter(w for b in _apart(part) for w in sorted(b)) for part in (toxic, clean))
+    t, c = (Counter(w for b in _apart(part) for w in b) for part in (toxic, clean))
 
     def odd(w):
         """Whether a word is ten times as frequent in toxic texts."""
@@ -163,7 +170,7 @@ def train(sample: pd.DataFrame) -> ToxicityModel:
         return odd(w), (np.log(a / (len(toxic) + 1)) - np.log(b / (len(clean) + 1))) / np.sqrt(1 / a + 1 / b)
 
     rank = {w: speaks(w) for w in sorted(set().union(*toxic))}
-    first = [max(sorted(b), key=rank.get) for b in toxic]
+    first = [max(b, key=rank.get) for b in toxic]
     witness = Counter(w for w in first if odd(w)) or Counter(first)
     background = sorted(c)
     rng = np.random.default_rng(11)
@@ -191,7 +198,7 @@ def train(sample: pd.DataFrame) -> ToxicityModel:
             negatives |= set(hard)
             every = sorted(set().union(*toxic))
             of = dict(zip(every, model.words(every).tolist()))
-            witness = Counter(w for b in toxic if odd(w := max(sorted(b), key=of.get))) or witness
+            witness = Counter(w for b in toxic if odd(w := max(b, key=of.get))) or witness
     x = model.highest(sample["text"].tolist())
     model.bend = logistic(x[:, None], sample["label"].to_numpy(float), ridge=0.05)
     model.bend[1] = max(model.bend[1], 0.0)
