@@ -58,9 +58,18 @@ def _in(bucket: str):
     return lambda x: x["b"] == F.lit(bucket)
 
 
+def tagged(words: Column, units=t.UNITS) -> Column:
+    """Tokens with their buckets, empty for none."""
+    return F.transform(words, lambda w: F.struct(w.alias("w"), F.coalesce(t.token_bucket(w, units), F.lit("")).alias("b")))
+
+
 def bucketed(words: Column, units=t.UNITS) -> Column:
     """A struct of bucket counts, and ``rest``: the tokens in none (A5)."""
-    tagged = F.transform(words, lambda w: F.struct(w.alias("w"), F.coalesce(t.token_bucket(w, units), F.lit("")).alias("b")))
+    return counted(tagged(words, units))
+
+
+def counted(tagged: Column) -> Column:
+    """The same of tagged tokens: in a column of their own they are tagged once, not for each field."""
     counts = [F.size(F.filter(tagged, _in(b))).alias(b) for b in t.BUCKETS]
     rest = F.transform(F.filter(tagged, _in("")), lambda x: x["w"])
     return F.struct(*counts, rest.alias("rest"))

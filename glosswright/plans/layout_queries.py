@@ -241,8 +241,7 @@ v AS (SELECT w AS term, ln((SELECT count(*) FROM lines) / count(DISTINCT line))
 @query(f"WITH {_TWICE}{_IDF} SELECT term, round(idf, 9) AS idf FROM v")
 def feature_idf(spark, sf_dir):
     """M2, A2, A3: vocabulary and idf over all lines, half of which are there twice."""
-    m = features.fit_features(_twice(spark, sf_dir), _SPEC)
-    return spark.createDataFrame([(w, round(x, 9)) for w, x in zip(m.vocabulary, m.idf)], "term string, idf double")
+    return features.term_table(_twice(spark, sf_dir), _SPEC).select("term", F.round("idf", 9).alias("idf"))
 
 
 @query(f"WITH {_TWICE}{_IDF} SELECT n.doc_id, round(sum(coalesce(v.idf, 0)), 4) AS total FROM num n LEFT JOIN ltok USING (line) LEFT JOIN v ON v.term = ltok.w GROUP BY n.line, n.doc_id")
