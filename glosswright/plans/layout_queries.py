@@ -247,12 +247,9 @@ def feature_idf(spark, sf_dir):
 @query(f"WITH {_TWICE}{_IDF} SELECT n.doc_id, round(sum(coalesce(v.idf, 0)), 4) AS total FROM num n LEFT JOIN ltok USING (line) LEFT JOIN v ON v.term = ltok.w GROUP BY n.line, n.doc_id")
 def feature_vectors(spark, sf_dir):
     """The sum of each line's tf-idf places."""
-    from pyspark.ml.functions import vector_to_array
-
     rows = _twice(spark, sf_dir)
-    m = features.fit_features(rows, _SPEC)
-    total = F.aggregate(F.slice(vector_to_array("features"), 1, max(1, len(m.vocabulary))), F.lit(0.0), lambda a, x: a + x)
-    return m.transform(rows).select("doc_id", F.round(total, 4).alias("total"))
+    out = features.sparse_features(rows, features.term_table(rows, _SPEC), _SPEC, keep=["doc_id"])
+    return out.select("doc_id", F.round(F.aggregate("weights", F.lit(0.0), lambda a, x: a + x), 4).alias("total"))
 
 
 @query("""WITH x AS (SELECT vec_id, (unnest(range(0, len(embedding))))::INTEGER AS dim, unnest(embedding)::DOUBLE AS x FROM embeddings WHERE embedding IS NOT NULL),
