@@ -266,33 +266,36 @@ def colour_hex(spark, sf_dir):
     return table(spark, sf_dir, "orders").select("o_orderkey", t.hex_colour(a % 256, b % 256, (a + b) % 256).alias("colour"))
 
 
+_EVER = "3650 days"  # the files of a stored table come in no order of time: none of their rows is late
+
+
 def _streamed(spark, sf_dir, plan, mode="complete"):
-    """A plan over the events' files run as a stream to its end, into a table in memory."""
-    name = f"stream_{uuid.uuid4().hex}"
+    """A plan over the events' files run as a stream to its end, into files in the shared folder."""
+    folder = f"{shared_folder(spark).rstrip('/')}/stream_{uuid.uuid4().hex}"
     events = stream.event_stream(spark, f"{sf_dir}/events.parquet")
-    return stream.drain(plan(events), name, mode, f"{shared_folder(spark).rstrip('/')}/{name}")
+    return stream.drain_to(plan(events), f"{folder}/rows", mode, f"{folder}/checkpoint")
 
 
 @query("""SELECT (epoch(time_bucket(INTERVAL 1 HOUR, ts)))::BIGINT AS "start", event_type, count(*) AS n, round(sum(value), 4) AS total FROM events GROUP BY 1, 2""")
 def stream_tumbling(spark, sf_dir):
-    return _streamed(spark, sf_dir, stream.tumbling).select(F.unix_seconds("start").alias("start"), "event_type", "n", F.round("total", 4).alias("total"))
+    return _streamed(spark, sf_dir, lambda e: stream.tumbling(e, late=_EVER)).select(F.unix_seconds("start").alias("start"), "event_type", "n", F.round("total", 4).alias("total"))
 
 
 @query("""WITH g AS (SELECT user_id, ts, CASE WHEN ts - lag(ts) OVER (PARTITION BY user_id ORDER BY ts) < INTERVAL 30 MINUTE THEN 0 ELSE 1 END AS new FROM events),
 s AS (SELECT *, sum(new) OVER (PARTITION BY user_id ORDER BY ts ROWS BETWEEN UNBOUNDED PRECEDING AND CURRENT ROW) AS s FROM g)
 SELECT (epoch_us(min(ts)))::BIGINT AS "start", user_id, count(*) AS n FROM s GROUP BY user_id, s""")
 def stream_session(spark, sf_dir):
-    return _streamed(spark, sf_dir, stream.sessions).select(F.unix_micros("start").alias("start"), "user_id", "n")
+    return _streamed(spark, sf_dir, lambda e: stream.sessions(e, late=_EVER)).select(F.unix_micros("start").alias("start"), "user_id", "n")
 
 
 @query("SELECT user_id, event_type FROM events GROUP BY user_id, event_type")
 def stream_dedup(spark, sf_dir):
-    return _streamed(spark, sf_dir, lambda e: stream.distinct_events(e, ["user_id", "event_type"], "3650 days"), "append").select("user_id", "event_type")
+    return _streamed(spark, sf_dir, lambda e: stream.distinct_events(e, ["user_id", "event_type"], _EVER), "append").select("user_id", "event_type")
 
 
 @query("""SELECT (epoch(w))::BIGINT AS "start", event_type, count(*) AS n FROM (SELECT event_type, unnest([time_bucket(INTERVAL 15 MINUTE, ts) - k * INTERVAL 15 MINUTE for k in [0, 1, 2, 3]]) AS w FROM events) GROUP BY 1, 2""")
 def stream_sliding(spark, sf_dir):
-    return _streamed(spark, sf_dir, stream.sliding).select(F.unix_seconds("start").alias("start"), "event_type", "n")
+    return _streamed(spark, sf_dir, lambda e: stream.sliding(e, late=_EVER)).select(F.unix_seconds("start").alias("start"), "event_type", "n")
 
 
 @query("""WITH w AS (SELECT o_custkey, o_orderdate, o_totalprice, lag(o_totalprice) OVER (PARTITION BY o_custkey ORDER BY o_orderkey) AS before, o_orderkey FROM orders)

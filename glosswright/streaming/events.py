@@ -12,11 +12,13 @@ from pyspark.sql import functions as F
 
 
 def event_stream(spark: SparkSession, path: str, files_per_trigger: int = 16) -> DataFrame:
-    """A folder of Parquet files as a stream; ``ts`` as a timestamp, which watermarks need."""
+    """A Parquet file or a folder of them as a stream; ``ts`` as a timestamp, which watermarks need."""
     schema = spark.read.parquet(path).schema
     folder, _, name = path.rpartition("/")
     reader = spark.readStream.schema(schema).option("maxFilesPerTrigger", files_per_trigger)
-    got = reader.option("pathGlobFilter", name).parquet(folder) if name.endswith(".parquet") else reader.parquet(path)
+    at = spark._jvm.org.apache.hadoop.fs.Path(path)
+    is_folder = at.getFileSystem(spark._jsc.hadoopConfiguration()).getFileStatus(at).isDirectory()  # a name may end in .parquet and be one
+    got = reader.parquet(path) if is_folder else reader.option("pathGlobFilter", name).parquet(folder)
     return with_timestamp(got)
 
 
@@ -81,6 +83,30 @@ def drain(stream: DataFrame, name: str, mode: str = "append", checkpoint: str |
     return stream.sparkSession.table(name)
 
 
+def drain_to(stream: DataFrame, path: str, mode: str = "append", checkpoint: str | None = None) -> DataFrame:
+    """Runs a stream over all there is into files below ``path``, written by the executors; for results of any size.
+
+    A batch run again writes its own files again, so no row is there twice.
+    """
+    written = []
+
+    def put(rows, batch):
+        rows.write.mode("overwrite").parquet(to := f"{path}/{batch if mode == 'append' else 'all'}")
+        if to not in written:
+            written.append(to)
+
+    writer = stream.writeStream.outputMode(mode).foreachBatch(put).trigger(availableNow=True)
+    if checkpoint:
+        writer = writer.option("checkpointLocation", checkpoint)
+    q = writer.start()
+    try:
+        q.awaitTermination()
+    finally:
+        q.stop()
+    spark = stream.sparkSession
+    return spark.read.schema(stream.schema).parquet(*written) if written else spark.createDataFrame([], stream.schema)
+
+
 def incremental_sink(stream: DataFrame, path: str, keys: list[str], checkpoint: str):
     """Appends rows with new keys only, batch by batch (K16): a batch run again adds nothing."""
     from glosswright.sources.io import append_new
