@@ -8,11 +8,15 @@ windows around these are aligned, in numpy.
 
 from __future__ import annotations
 
+from dataclasses import dataclass
+
 import numpy as np
 import pandas as pd
 import pyarrow as pa
+import pyarrow.compute as pc
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
+from pyspark.sql import types as T
 
 from glosswright.functions import text as t
 from glosswright.operators import intervals
@@ -21,6 +25,10 @@ from glosswright.operators import intervals
 SEED, KNOWN = 2, 1 << 20
 #: Letters of the longest chunk that is aligned at once, and the gap over which chunks' places become one.
 CHUNK, CHUNK_GAP = 500, 100
+#: Letters of all chunks up to which workers hold the chunks, and of texts that they look through at once.
+HELD, AT_ONCE = 1 << 21, 1 << 21
+#: Hits of seeds that are looked at together, windows side by side, letters of a stretch of a window, and classes of letters.
+HITS, LANES, STRETCH, LETTERS = 1 << 21, 8192, 2048, 128
 _POWER = np.cumprod(np.full(64, 0x9E3779B97F4A7C15, np.uint64))
 
 
@@ -168,26 +176,187 @@ def least_costs(texts: list[str], patterns: list[str], side_by_side: int = 64) -
     return out
 
 
-def fuzzy(docs: DataFrame, passages: DataFrame, doc: str = "doc_id", item: str = "item_id", text: str = "text", ratio: float = 0.2, most: int = 200) -> DataFrame:
-    """(doc, item, start, end, cost, tier): each passage's best place in the texts that hold it.
+def letters(x: str) -> np.ndarray:
+    """The class of each letter; letters that share one count as equal in lower bounds, which stay lower bounds."""
+    return (np.frombuffer(x.encode("utf-32-le"), np.uint32) % LETTERS).astype(np.uint8)
 
-    A passage of over CHUNK characters is searched in equal chunks, each of which must
-    be found; their places, merged over gaps under CHUNK_GAP, must be one, and their
-    costs add up (A20).  A chunk is found where its cost is at most ``ratio`` of its
-    length, and ``most``; ``tier`` is the least of 100, 120, 150 and 200 percent of
-    half the bound that suffices.  Positions are in the text with its white space made
-    single.  Windows to align are those around two adjacent words that text and chunk
-    share, wide enough for any match through them.  A match without two adjacent words
-    unharmed isn't found; at an edit in every tenth letter that is one in thousands.
+
+class Pieces:
+    """Patterns cut into pieces of 64 letters at most, as bits: what ``may_hold`` looks for."""
+
+    def __init__(self, patterns: list[str]):
+        code = [letters(x) for x in patterns]
+        self.size = np.array([len(x) for x in code], np.int64)
+        self.count = -(-self.size // 64)
+        self.length = np.zeros((max(1, int(self.count.max(initial=0))), len(code)), np.int64)
+        self.bits = []
+        for k in range(len(self.length)):
+            bits = np.zeros((len(code), LETTERS), np.uint64)
+            for i in np.flatnonzero(self.count > k):
+                a, b = (int(self.size[i] * j // self.count[i]) for j in (k, k + 1))
+                self.length[k, i] = b - a
+                # the last letter has the highest bit; rows below the first letter match all, and so cost nothing
+                bits[i] = np.uint64((1 << (64 - (b - a))) - 1)
+                np.bitwise_or.at(bits[i], code[i][a:b], np.uint64(1) << np.arange(64 - (b - a), 64, dtype=np.uint64))
+            self.bits.append(bits.ravel())
+
+
+def _least_edits(data: np.ndarray, begin: np.ndarray, size: np.ndarray, bits: np.ndarray, at: np.ndarray, length: np.ndarray) -> np.ndarray:
+    """The fewest edits (a substitution as one) between a piece and a substring of its stretch of ``data``.
+
+    The bit-parallel method of Myers (1999): a word of 64 bits has the differences down
+    a column of the table.  Stretches lie side by side, shorter ones first, and leave as they end.
     """
-    p = passages.where(F.col(text).isNotNull()).select(item, plain(t.drop_brackets(text)).alias("p")).where("p <> ''")
-    n = F.ceil(F.length("p") / CHUNK).cast("int")
-    size = F.ceil(F.length("p") / n).cast("int")
-    parts = F.transform(F.sequence(F.lit(0), n - 1), lambda i: F.struct(i.alias("chunk"), F.substr("p", i * size + 1, size).alias("c")))
-    c = p.select(item, n.alias("n"), F.explode(F.filter(parts, lambda x: F.length(x["c"]) > 0)).alias("x")).select(item, "n", "x.*")
-    c = c.withColumn("n", F.count("*").over(Window.partitionBy(item)).cast("int")).withColumn("bound", F.least(F.lit(most), F.ceil(F.length("c") * ratio)).cast("int"))
-    c = c.withColumn("chunk_id", F.struct(item, "chunk")).withColumn("m", F.length("c"))
-    d = docs.where(F.col(text).isNotNull()).select(doc, plain(text).alias("d"))
+    none = np.uint64(0xFFFFFFFFFFFFFFFF)
+    n, one = len(begin), np.uint64(1)
+    up = none << (64 - length).astype(np.uint64)
+    down = np.zeros(n, np.uint64)
+    score, best = length.copy(), length.copy()
+    room = [np.empty(n, np.uint64) for _ in range(3)]
+    signs, row, place = np.empty(n, np.int64), at * LETTERS, begin.copy()
+    gone = np.searchsorted(size, np.arange(int(size[-1]) if n else 0), "right")  # stretches that have ended before a column
+    for g in gone.tolist():
+        vp, vn, s, t0, t1, t2, sg = up[g:], down[g:], score[g:], *(x[g:] for x in room), signs[g:]
+        eq = bits.take(row[g:] + data.take(place[g:]))
+        place += 1
+        np.bitwise_and(eq, vp, out=t0)
+        np.add(t0, vp, out=t0)
+        np.bitwise_xor(t0, vp, out=t0)
+        np.bitwise_or(t0, eq, out=t0)
+        np.bitwise_or(t0, vn, out=t0)  # diagonal steps that cost nothing
+        np.bitwise_or(t0, vp, out=t1)
+        np.invert(t1, out=t1)
+        np.bitwise_or(t1, vn, out=t1)  # steps to the right that cost one
+        np.bitwise_and(t0, vp, out=t2)  # and that gain one
+        np.right_shift(t1.view(np.int64), 63, out=sg)
+        np.subtract(s, sg, out=s)
+        np.right_shift(t2.view(np.int64), 63, out=sg)
+        np.add(s, sg, out=s)
+        np.left_shift(t1, one, out=t1)
+        np.left_shift(t2, one, out=t2)
+        np.bitwise_and(t1, t0, out=vn)
+        np.bitwise_or(t0, t1, out=t0)
+        np.invert(t0, out=t0)
+        np.bitwise_or(t0, t2, out=vp)
+        np.minimum(best[g:], s, out=best[g:])
+    return best
+
+
+def may_hold(data: np.ndarray, begin: np.ndarray, end: np.ndarray, pieces: Pieces, which: np.ndarray, bound: np.ndarray) -> np.ndarray:
+    """Whether windows of ``data`` (letters' classes) can hold a match of a cost up to their bound; never false for one that does.
+
+    A match aligns each piece of its pattern with a substring of the window, so the
+    pieces' fewest edits add up to no more than its cost.  Long windows are looked
+    through by stretches that overlap by more than a piece's best match is long.
+    """
+    left = np.arange(len(begin))
+    total = np.zeros(len(begin), np.int64)
+    for k in range(len(pieces.bits)):
+        ask = left[pieces.count[which[left]] > k]
+        cuts = np.maximum(1, -(-(end - begin)[ask] // STRETCH))
+        of = np.repeat(np.arange(len(ask)), cuts)
+        nth = np.arange(len(of)) - np.repeat(np.cumsum(cuts) - cuts, cuts)
+        a = begin[ask][of] + nth * STRETCH
+        size = np.minimum(a + STRETCH + 128, end[ask][of]) - a
+        found = np.full(len(ask), 64, np.int64)
+        order = np.argsort(size, kind="stable")
+        for x in range(0, len(order), LANES):
+            o = order[x : x + LANES]
+            i = which[ask[of[o]]]
+            np.minimum.at(found, of[o], _least_edits(data, a[o], size[o], pieces.bits[k], i, pieces.length[k, i]))
+        total[ask] += found
+        left = left[total[left] <= bound[left]]
+    out = np.zeros(len(begin), bool)
+    out[left] = True
+    return out
+
+
+def within(windows: list[str], patterns: list[str], bounds: np.ndarray) -> list[tuple[int, int, int] | None]:
+    """The best match of each pattern in its window, none where it costs more than the bound."""
+    costs = least_costs(windows, patterns)
+    return [best_match(x, p) if c <= n else None for x, p, c, n in zip(windows, patterns, costs, bounds)]
+
+
+@dataclass
+class Chunks:
+    """Chunks that workers hold, with their seeds in order."""
+
+    text: list[str]
+    bound: np.ndarray
+
+    def __post_init__(self):
+        self.size = np.array([len(x) for x in self.text], np.int64)
+        chunk, seed, place = word_seeds(self.text)
+        by = np.argsort(seed, kind="stable")
+        self.chunk, self.seed, self.place = chunk[by], seed[by], place[by]
+
+    def windows(self, texts: list[str]) -> tuple[np.ndarray, np.ndarray, np.ndarray, np.ndarray]:
+        """(row, chunk, start, end) around seeds that texts share with chunks, merged where they overlap."""
+        row, seed, at = word_seeds(texts)
+        low = np.searchsorted(self.seed, seed, "left")
+        n = np.searchsorted(self.seed, seed, "right") - low
+        row, at, low, n = (x[n > 0] for x in (row, at, low, n))
+        ends, a, got = np.cumsum(n), 0, [(np.empty(0, np.int64),) * 3]
+        while a < len(n):
+            b = max(a + 1, int(np.searchsorted(ends, (ends[a - 1] if a else 0) + HITS, "right")))
+            of = np.repeat(np.arange(a, b), n[a:b])
+            j = np.arange(len(of)) - np.repeat(ends[a:b] - n[a:b] - (ends[a - 1] if a else 0), n[a:b]) + low[of]
+            chunk = self.chunk[j]
+            shift = at[of] - self.place[j]
+            got.append(_merged(row[of] * len(self.text) + chunk, shift - self.bound[chunk], shift + self.size[chunk] + self.bound[chunk]))
+            a = b
+        key, start, end = _merged(*(np.concatenate(x) for x in zip(*got)))
+        row = key // max(1, len(self.text))
+        return row, key % max(1, len(self.text)), np.maximum(start, 0), np.minimum(end, np.array([len(x) for x in texts], np.int64)[row])
+
+
+def _merged(key: np.ndarray, start: np.ndarray, end: np.ndarray) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
+    """Intervals of at least one letter, merged within their key where they overlap."""
+    by = np.lexsort((end, start, key))
+    key, start, end = key[by], start[by], end[by]
+    if not len(key):
+        return key, start, end
+    # the furthest end so far within the key: ends are raised by the key, so that none reaches into the next
+    wide = int(end.max() - start.min()) + 2
+    nth = np.cumsum(np.concatenate(([0], (key[1:] != key[:-1]).astype(np.int64)))) * wide
+    reach = np.maximum.accumulate(end + nth) - nth
+    new = np.concatenate(([True], (key[1:] != key[:-1]) | (start[1:] >= reach[:-1])))
+    first = np.flatnonzero(new)
+    return key[first], start[first], reach[np.concatenate((first[1:] - 1, [len(key) - 1]))]
+
+
+def _of_few(d: DataFrame, c: DataFrame, doc: str, item: str) -> DataFrame:
+    """(doc, item, chunk, cost, start, end, bound, n) for chunks of HELD letters at most: one pass over plain texts, without a shuffle."""
+    told = [item, "chunk", "bound", "n"]
+    sent = d.sparkSession.sparkContext.broadcast(c.select(*told, "c").toArrow().combine_chunks())  # HELD letters at most
+
+    def run(batches):
+        own = sent.value
+        known = Chunks(own.column("c").to_pylist(), own.column("bound").to_numpy().astype(np.int64))
+        pieces = Pieces(known.text)
+        for b in batches:
+            ends = np.concatenate(([0], np.cumsum(pc.utf8_length(b.column(1)).to_numpy().astype(np.int64))))
+            a = 0
+            while a < b.num_rows:
+                n = max(1, int(np.searchsorted(ends, ends[a] + AT_ONCE, "right")) - 1 - a)
+                part, begin, a = b.slice(a, n), ends[a : a + n] - ends[a], a + n
+                texts = part.column(1).to_pylist()
+                row, chunk, start, end = known.windows(texts)
+                ok = may_hold(letters("".join(texts)), begin[row] + start, begin[row] + end, pieces, chunk, known.bound[chunk])
+                row, chunk, start, end = row[ok], chunk[ok], start[ok], end[ok]
+                got = within([texts[r][x:y] for r, x, y in zip(row, start, end)], [known.text[i] for i in chunk], known.bound[chunk])
+                hit = [(r, i, m[2], x + m[0], x + m[1]) for r, i, x, m in zip(row, chunk, start, got) if m]
+                row, chunk, *places = zip(*hit) if hit else ((),) * 5
+                of = own.select(told).take(pa.array(chunk, pa.int64())).combine_chunks()
+                cols = [part.column(0).take(pa.array(row, pa.int64())), *(of.column(x).combine_chunks() for x in told), *(pa.array(x, pa.int32()) for x in places)]
+                yield pa.RecordBatch.from_arrays(cols, names=[doc, *told, "cost", "start", "end"])
+
+    kinds = T.StructType([d.schema[doc], *(T.StructField(x, c.schema[x].dataType) for x in told), *(T.StructField(x, T.IntegerType()) for x in ("cost", "start", "end"))])
+    return d.select(doc, "d").mapInArrow(run, kinds)
+
+
+def _of_many(d: DataFrame, c: DataFrame, doc: str, item: str) -> DataFrame:
+    """The same for any number of chunks, which meet the texts in a join."""
     own = seeds(c, "chunk_id", "c")
     known = own.select("seed").distinct().limit(KNOWN + 1).toArrow().column(0).to_numpy()  # KNOWN numbers at most
     dk = seeds(d, doc, "d", np.sort(known) if len(known) <= KNOWN else None)
@@ -204,17 +373,47 @@ def fuzzy(docs: DataFrame, passages: DataFrame, doc: str = "doc_id", item: str =
     )
 
     # few bytes, much work: dealt out whatever their size
-    cut = cut.repartition(int(docs.sparkSession.conf.get("spark.sql.shuffle.partitions")))
+    cut = cut.repartition(int(d.sparkSession.conf.get("spark.sql.shuffle.partitions")))
 
     @F.pandas_udf("struct<start:int,end:int,cost:int>")
     def align(ws: pd.Series, ps: pd.Series, bounds: pd.Series) -> pd.DataFrame:
-        near = least_costs(ws.tolist(), ps.tolist()) <= bounds.to_numpy()
-        none = (None, None, None)
-        return pd.DataFrame([best_match(a, b) if n else none for a, b, n in zip(ws, ps, near)], columns=["start", "end", "cost"], dtype="Int32")
+        nth, patterns = pd.factorize(ps)
+        ends = ws.str.len().cumsum().to_numpy(np.int64)
+        begin = np.concatenate(([0], ends[:-1]))[: len(ws)]
+        ok = may_hold(letters("".join(ws)), begin, ends, Pieces(list(patterns)), nth, bounds.to_numpy())
+        got = np.full((len(ws), 3), None)
+        for k, m in zip(np.flatnonzero(ok), within(ws[ok].tolist(), ps[ok].tolist(), bounds[ok].to_numpy())):
+            got[k] = m or (None, None, None)
+        return pd.DataFrame(got, columns=["start", "end", "cost"], dtype="Int32")
 
     got = cut.join(c.select("chunk_id", "c", "bound", "n"), "chunk_id").withColumn("m", align("window", "c", "bound")).where(F.col("m.cost") <= F.col("bound"))
-    place = F.struct(F.col("m.cost").alias("cost"), (F.col("from") + F.col("m.start")).alias("start"), (F.col("from") + F.col("m.end")).alias("end"), "bound", "n")
-    best = got.groupBy(doc, F.col(f"chunk_id.{item}").alias(item), "chunk_id.chunk").agg(F.min(place).alias("b")).select(doc, item, "chunk", "b.*")
+    return got.select(doc, f"chunk_id.{item}", "chunk_id.chunk", "m.cost", (F.col("from") + F.col("m.start")).alias("start"), (F.col("from") + F.col("m.end")).alias("end"), "bound", "n")
+
+
+def fuzzy(docs: DataFrame, passages: DataFrame, doc: str = "doc_id", item: str = "item_id", text: str = "text", ratio: float = 0.2, most: int = 200) -> DataFrame:
+    """(doc, item, start, end, cost, tier): each passage's best place in the texts that hold it.
+
+    A passage of over CHUNK characters is searched in equal chunks, each of which must
+    be found; their places, merged over gaps under CHUNK_GAP, must be one, and their
+    costs add up (A20).  A chunk is found where its cost is at most ``ratio`` of its
+    length, and ``most``; ``tier`` is the least of 100, 120, 150 and 200 percent of
+    half the bound that suffices.  Positions are in the text with its white space made
+    single.  Windows to align are those around two adjacent words that text and chunk
+    share, wide enough for any match through them.  A match without two adjacent words
+    unharmed isn't found; at an edit in every tenth letter that is one in thousands.
+    """
+    p = passages.where(F.col(text).isNotNull()).select(item, plain(t.drop_brackets(text)).alias("p")).where("p <> ''")
+    n = F.ceil(F.length("p") / CHUNK).cast("int")
+    size = F.ceil(F.length("p") / n).cast("int")
+    parts = F.transform(F.sequence(F.lit(0), n - 1), lambda i: F.struct(i.alias("chunk"), F.substr("p", i * size + 1, size).alias("c")))
+    c = p.select(item, n.alias("n"), F.explode(F.filter(parts, lambda x: F.length(x["c"]) > 0)).alias("x")).select(item, "n", "x.*")
+    c = c.withColumn("n", F.count("*").over(Window.partitionBy(item)).cast("int")).withColumn("bound", F.least(F.lit(most), F.ceil(F.length("c") * ratio)).cast("int"))
+    c = c.withColumn("chunk_id", F.struct(item, "chunk")).withColumn("m", F.length("c"))
+    d = docs.where(F.col(text).isNotNull()).select(doc, plain(text).alias("d"))
+    held = c.agg(F.coalesce(F.sum("m"), F.lit(0)).alias("m")).first()["m"]
+    got = _of_few(d, c, doc, item) if held <= HELD else _of_many(d, c, doc, item)
+    place = F.struct("cost", "start", "end", "bound", "n")
+    best = got.groupBy(doc, item, "chunk").agg(F.min(place).alias("b")).select(doc, item, "chunk", "b.*")
     of = [doc, item]
     whole = best.groupBy(*of).agg(F.sum("cost").cast("int").alias("cost"), F.sum("bound").alias("bound"), F.count("*").alias("found"), F.max("n").alias("n")).where("found = n")
     runs = intervals.merge_intervals(best, of, gap=CHUNK_GAP).groupBy(*of).agg(F.count("*").alias("runs"), F.min("start").alias("start"), F.max("end").alias("end"))
