@@ -7,7 +7,7 @@ from dataclasses import asdict, dataclass
 
 import numpy as np
 import pyarrow as pa
-from pyspark import TaskContext
+from pyspark import SparkContext, TaskContext
 from pyspark.ml import PipelineModel
 from pyspark.ml.feature import CountVectorizerModel, ElementwiseProduct, StandardScaler, VectorAssembler
 from pyspark.ml.functions import array_to_vector
@@ -53,6 +53,16 @@ def line_features(rows: DataFrame, spec: FeatureSpec, text: str = "text") -> Dat
     return out.withColumn("tokens", F.col("_b.rest")).withColumn("manual", F.array(*manual)).drop("_words", "_tagged", "_b")
 
 
+def counter(vocabulary: list[str], tokens: str, out: str) -> CountVectorizerModel:
+    """Counts of a vocabulary's terms, which go to the JVM as one text: term by term, 100,000 take several seconds."""
+    if any("\n" in x for x in vocabulary):
+        return CountVectorizerModel.from_vocabulary(vocabulary, inputCol=tokens, outputCol=out)
+    terms = SparkContext._active_spark_context._jvm.java.util.regex.Pattern.compile("\n").split("\n".join(vocabulary), -1)
+    model = CountVectorizerModel._create_from_java_class("org.apache.spark.ml.feature.CountVectorizerModel", terms)
+    model._set(vocabSize=len(vocabulary))
+    return model.setInputCol(tokens).setOutputCol(out)
+
+
 class FeatureModel:
     """A frozen vocabulary with idf; ``transform`` adds ``features`` (M3, M4)."""
 
@@ -64,7 +74,7 @@ class FeatureModel:
         out = line_features(rows, self.spec, text).withColumn("_manual", array_to_vector("manual"))
         parts = ["_manual"]
         if self.vocabulary:
-            count = CountVectorizerModel.from_vocabulary(self.vocabulary, inputCol="tokens", outputCol="_tf")
+            count = counter(self.vocabulary, "tokens", "_tf")
             weigh = ElementwiseProduct(scalingVec=Vectors.dense(self.idf), inputCol="_tf", outputCol="_tfidf")
             out, parts = weigh.transform(count.transform(out)), ["_tfidf", "_manual"]
         if self.spec.embedding:
@@ -169,11 +179,13 @@ def fit_features(rows: DataFrame, spec: FeatureSpec | None = None, text: str = "
     ``term_table`` and ``sparse_features`` have no bound.
     """
     spec = spec or FeatureSpec()
-    vocab = term_table(rows, spec, text).limit(most + 1).collect()
-    if len(vocab) > most:
+    found = term_table(rows, spec, text).persist()
+    if found.count() > most:
+        found.unpersist()
         raise ValueError(f"over {most} terms: raise ``most`` or the uses that a term needs")
-    vocab.sort(key=lambda r: r["term"])
-    return FeatureModel(spec, [r["term"] for r in vocab], [float(r["idf"]) for r in vocab])
+    vocab = found.toArrow().sort_by("term")  # a row object for each term would take ten times as much of the driver
+    found.unpersist()
+    return FeatureModel(spec, vocab.column("term").to_pylist(), vocab.column("idf").to_pylist())
 
 
 class Scaler:

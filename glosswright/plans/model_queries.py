@@ -13,8 +13,8 @@ from glosswright.plans.registry import query, table
 def highlight_classifier(spark, sf_dir):
     """Sentences of labelled documents, the classifier fitted on half of the sources, applied to the others."""
     docs = table(spark, sf_dir, "documents").join(table(spark, sf_dir, "labels").select("doc_id", "quality"), "doc_id")
-    s = sentences.sentences(docs.select("doc_id", "text")).join(docs.select("doc_id", "source", F.col("quality").alias("label")), "doc_id")
-    s = s.withColumn("row_id", F.xxhash64("doc_id", "sent_no")).withColumnRenamed("sentence", "text")
+    s = docs.select("doc_id", "source", F.col("quality").alias("label"), F.posexplode(sentences.split_text("text")).alias("sent_no", "text"))
+    s = s.withColumn("row_id", F.xxhash64("doc_id", "sent_no"))
     even = F.pmod(F.crc32(F.col("source").cast("binary")), F.lit(2)) == 0
     model = SentenceClassifier(ratio=1).fit(s.where(even))
     out = model.predict(s.where(~even)).groupBy("source")

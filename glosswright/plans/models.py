@@ -21,6 +21,10 @@ from pyspark.sql import functions as F
 from glosswright.functions import text as t
 from glosswright.operators import evaluation, sampling, tagging
 from glosswright.plans.features import FeatureModel, FeatureSpec, Scaler, fit_features, fit_scaler
+from glosswright.session import shared_folder
+
+#: Rows of a partition that a fit reads.
+PART_ROWS = 1 << 19
 
 
 def linear_svm(c: float, n: int, features: str = "features") -> Estimator:
@@ -119,6 +123,18 @@ def grid_search(rows: DataFrame, make: Callable[..., Estimator], grid: dict[str,
     return make(**params).fit(rows), params, report
 
 
+def cut_for_fit(rows: DataFrame) -> DataFrame:
+    """The rows without their lineage, for a fit that reads them many times.
+
+    A lineage with a model of many terms would be sent with every task of every
+    iteration.  The table is in the shared folder, in as many partitions as there are
+    cores, or as hold PART_ROWS rows each: every partition adds a dense gradient.
+    """
+    spark = rows.sparkSession
+    shared_folder(spark)
+    return rows.coalesce(max(spark.sparkContext.defaultParallelism, rows.count() // PART_ROWS)).checkpoint(eager=True)
+
+
 class SentenceClassifier:
     """Features, scaling, down-sampled negatives and a classifier; ``predict`` scores new rows."""
 
@@ -129,13 +145,14 @@ class SentenceClassifier:
 
     def fit(self, rows: DataFrame, text: str = "text") -> SentenceClassifier:
         self.features = fit_features(rows, self.spec, text)
-        x = self.features.transform(rows, text).withColumn("label", F.col("label").cast("double")).cache()
+        x = self.features.transform(rows, text).withColumn("label", F.col("label").cast("double"))
+        x = (x if self.center else x.select(self.key, "label", "features")).cache()
         self.scale = fit_scaler(x, center=self.center)
-        part = self.scale(sampling.balanced(x, self.key, ratio=self.ratio)).cache()
+        part = self.scale(sampling.balanced(x, self.key, ratio=self.ratio))
+        part = cut_for_fit(part if self.center else part.select("label", "scaled"))
         n, width = part.count(), len(part.first()["scaled"]) if not part.isEmpty() else 0
-        self.model = self.make(n, width).fit(part)
-        part.unpersist()
         x.unpersist()
+        self.model = self.make(n, width).fit(part)
         return self
 
     def predict(self, rows: DataFrame, text: str = "text") -> DataFrame:
